@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, pii, shards
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_shard": shards.op2_shard,
+    "op7_mix": mixing.op7_mix,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op7_mix": mixing.ORACLE,
 }
