@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, shards
+from . import decontaminate, licenses, mixing, pii, shards, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_shard": shards.op2_shard,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_url_filter": urlfilter.op4_url_filter,
+    "op6_warc": warc.op6_warc,
     "op7_mix": mixing.op7_mix,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_mix": mixing.ORACLE,
 }
