@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, pii, shards, urlfilter, warc
+from . import decontaminate, licenses, mixing, pii, shards, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": urlfilter.op4_url_filter,
     "op6_warc": warc.op6_warc,
     "op7_mix": mixing.op7_mix,
+    "op9_simhash": simhash.op9_simhash,
     "op10_pii": pii.op10_pii,
 }
 
