@@ -173,7 +173,11 @@ def top_k(
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"), is_query.alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("e")))
     rows = rows.select("vec_id", quantised(F.col("e")).alias("v"), "asks").dropDuplicates(["vec_id", "v"])
-    rows = common.cut(rows.withColumn("dim", F.size("v")))
+    rows = rows.withColumn("dim", F.size("v"))
+    path = common.shared_dir(vectors.sparkSession)
+    rows = common.cut(rows, path)
+    # Read apart, so that the two sides of a search don't share columns.
+    asking = vectors.sparkSession.read.schema(rows.schema).parquet(path)
     n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     per = min(max(-(-n // shards), shard_rows[0]), shard_rows[1])
     n_shards = max(1, -(-n // per))
@@ -184,7 +188,7 @@ def top_k(
 
     index = rows.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("shard"))
     index = index.select("*", all_of(n_blocks).alias("block"))
-    queries = rows.where("asks").select(
+    queries = asking.where("asks").select(
         "dim", F.col("vec_id").alias("query_id"), "v",
         F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"),
     )
