@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import clamp01, place
+from ..functions.scores import clamp01, place, place_again
 from ..functions.vectors import l2_normalize
 from .tables import BROADCAST_ROWS, by_score, ranked
 
@@ -109,7 +109,7 @@ def blend(dense: DataFrame, reranked: DataFrame, alpha: float, topk: int) -> Dat
         reranked, ["topic_id", "doc_id"], "left"
     )
     mixed = F.when(F.col("ce").isNotNull(), F.col("ce") * alpha + F.col("dense") * (1.0 - alpha)).otherwise(F.col("dense"))
-    return ranked(joined.select("topic_id", "doc_id", place(mixed).alias("score")), ["topic_id"], by_score("doc_id"), top=topk)
+    return ranked(joined.select("topic_id", "doc_id", place_again(mixed).alias("score")), ["topic_id"], by_score("doc_id"), top=topk)
 
 
 def encode(texts: DataFrame, encoder, column: str = "text") -> DataFrame:

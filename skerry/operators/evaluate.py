@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import place
 from . import scoring
 from .index import Index, query_terms
-from .tables import by_score, ranked
+from .tables import by_score, ranked, settle
 
 
 def average_precision(run: DataFrame, qrels: DataFrame, k: int = 1000, extra: list[str] | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def bm25_sweep(topics: DataFrame, index: Index, k1s: list[float], bs: list[float
         for b in bs:
             scoring.check_bm25(k1, b)
     settings = F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b")) for k1 in k1s for b in bs))
-    rows = scoring.matches(query_terms(topics), index).withColumn("s", F.explode(settings))
+    rows = scoring.matches(settle(query_terms(topics)), index).withColumn("s", F.explode(settings))
     part = F.col("weight") * scoring.bm25_part(
         F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"), F.col("s.k1"), F.col("s.b")
     )

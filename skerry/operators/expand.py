@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_spaces
-from .tables import ranked, small
+from .tables import ranked
 
 # Noun synonyms that results must agree with.
 SYNONYMS = {
@@ -55,7 +55,7 @@ def expand_terms(
         return base.select("topic_id", F.col("words").alias("terms"))
     base = base.select("topic_id", F.array_distinct(F.transform("words", F.lower)).alias("words"))
     asked = base.select("topic_id", "words", F.posexplode("words").alias("at", "term"))
-    found = asked.join(small(synonyms), "term").where(~F.array_contains(F.col("words"), F.col("synonym")))
+    found = asked.join(synonyms, "term").where(~F.array_contains(F.col("words"), F.col("synonym")))
     order = Window.partitionBy("topic_id", "synonym").orderBy("at", "pos")
     first = found.withColumn("n", F.row_number().over(order)).where("n = 1")
     added = ranked(first, ["topic_id"], [F.col("at"), F.col("pos")], top=max_terms)

@@ -78,7 +78,7 @@ def intra_similarity(members: DataFrame, max_pairs: int = 50) -> DataFrame:
     """Mean cosine of the first ``max_pairs`` pairs in member order; vectors
     are fitted on the cluster alone."""
     items = members.select(*CLUSTER, F.col("pos").alias("i"), "content")
-    found = vectorize.cosine_pairs(vectorize.tfidf(items, CLUSTER), CLUSTER)
+    found = vectorize.raw_cosine_pairs(vectorize.tfidf(items, CLUSTER), CLUSTER)
     size = members.groupBy(*CLUSTER).agg(F.count("*").alias("n"))
     # Pair (a, b) has this number in the order of a nested loop over members.
     number = F.col("a") * (F.col("n") - 1) - F.col("a") * (F.col("a") - 1) / 2 + (F.col("b") - F.col("a") - 1)

@@ -52,9 +52,11 @@ def document_frequency(index: Index, terms: DataFrame | None = None) -> DataFram
     return index.postings(terms).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def background(index: Index) -> DataFrame:
-    """``(term, cf, p)``: share of all tokens. The total is one row, so it is broadcast."""
-    counted = index.tokens.groupBy("term").agg(F.count("*").alias("cf"))
+def background(index: Index, terms: DataFrame | None = None) -> DataFrame:
+    """``(term, cf, p)``: share of all tokens, of the given terms only if there
+    are any. The total is one row, so it is broadcast."""
+    tokens = index.tokens if terms is None else index.tokens.join(terms, "term", "left_semi")
+    counted = tokens.groupBy("term").agg(F.count("*").alias("cf"))
     total = index.stats.select("n_tokens")
     return counted.crossJoin(F.broadcast(total)).select("term", "cf", (F.col("cf") / F.col("n_tokens")).alias("p"))
 

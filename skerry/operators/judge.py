@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from .tables import small
 
 
 def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -24,7 +23,6 @@ def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
     anchored = items.withColumn("words", fx.tokenize(F.col("text"))).select(
         "topic_id", F.col("text").alias("item"), F.array_min(inner)["w"].alias("term")
     )
-    anchored = small(anchored)
     found = (
         docs.select("doc_id", "text", F.explode(F.array_distinct(fx.tokenize(F.col("text")))).alias("term"))
         .join(anchored, "term")

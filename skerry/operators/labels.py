@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import place
+from ..functions.scores import place, place_again
 from .features import CLUSTER
 
 METHODS = {
@@ -92,7 +92,7 @@ def document_instances(
     names = [c for c in features.columns if c not in CLUSTER]
     of = {"max": F.max, "sum": F.sum, "mean": F.avg}[how]
     pairs = members.select(*CLUSTER, "doc_id").distinct().join(features, CLUSTER)
-    summed = pairs.groupBy("topic_id", "doc_id").agg(*(place(of(n)).alias(n) for n in names))
+    summed = pairs.groupBy("topic_id", "doc_id").agg(*(place_again(of(n)).alias(n) for n in names))
     out = candidates.select("topic_id", "doc_id").join(summed, ["topic_id", "doc_id"], "left").fillna(0.0, names)
     return _judged(out, qrels, threshold).withColumn("label", F.col("hit").cast("int")).drop("hit")
 

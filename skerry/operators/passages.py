@@ -9,7 +9,7 @@ from ..functions import text as fx
 from ..functions.scores import place
 from . import scoring
 from .index import query_terms
-from .tables import by_score, ranked, small
+from .tables import by_score, ranked, settle
 
 
 def extract(docs: DataFrame, size: int = 10, least: int = 3, overlap: int = 2) -> DataFrame:
@@ -23,7 +23,7 @@ def of_candidates(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     """Passages of each topic's candidate documents: extracted once per
     document, then joined to the topics that retrieved it."""
     hits = candidates.select("topic_id", "doc_id", F.col("rank").alias("doc_rank"))
-    return passages.join(small(hits), "doc_id")
+    return passages.join(hits, "doc_id")
 
 
 def first_k(passages: DataFrame, k: int) -> DataFrame:
@@ -35,7 +35,7 @@ def best_overlap(passages: DataFrame, topics: DataFrame, k: int) -> DataFrame:
     """The ``k`` passages of every (topic, document) with most occurrences of
     query terms (``overlap``); ties go to the earlier passage."""
     wanted = topics.select("topic_id", F.array_distinct(fx.tokenize(F.col("text"))).alias("wanted"))
-    counted = passages.join(small(wanted), "topic_id").withColumn(
+    counted = passages.join(wanted, "topic_id").withColumn(
         "overlap", fx.overlap_count(fx.tokenize(F.col("content")), F.col("wanted"))
     )
     return ranked(counted, ["topic_id", "doc_id"], [F.desc("overlap"), F.col("p_idx")], "n", k).drop("n", "wanted")
@@ -68,13 +68,13 @@ def rank_passages(
     by = stats_by or ["topic_id"]
     key = ["topic_id", "doc_id", "p_idx"]
     words = passages.withColumn("words", fx.tokenize(F.col("content"))).withColumn("dl", F.size("words"))
-    terms = query_terms(topics)
+    terms = settle(query_terms(topics))
     stats = words.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total")
     )
     hits = (
         words.select(*key, "dl", F.explode("words").alias("term"))
-        .join(small(terms), ["topic_id", "term"])
+        .join(terms, ["topic_id", "term"])
         .groupBy(*key, "term", "weight", "dl")
         .agg(F.count("*").alias("tf"))
     )
@@ -88,7 +88,7 @@ def rank_passages(
     gain = F.sum(F.col("weight") * F.ln(1.0 + F.col("tf") / (mu * p)))
     summed = parts.groupBy(*key).agg(lexical.alias("bm25"), gain.alias("gain"))
     # Terms that no passage of the group holds still lower the likelihood.
-    groups = stats.select(*by, "total").join(small(terms), "topic_id")
+    groups = stats.select(*by, "total").join(terms, "topic_id")
     seen = groups.join(frequency.select(*by, "term", "cf"), [*by, "term"], "left")
     floor = F.when(F.coalesce("cf", F.lit(0)) > 0, p).otherwise(F.lit(scoring.UNSEEN))
     rest = seen.groupBy(*by).agg(

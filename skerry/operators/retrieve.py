@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from . import scoring
 from .index import Index, query_terms
-from .tables import by_score, ranked, small
+from .tables import by_score, ranked, settle
 
 MODELS = {
     "bm25": "bm25",
@@ -47,7 +47,7 @@ def search(
     kind = MODELS.get(model.lower())
     if kind is None:
         raise ValueError(f"unknown document model {model!r}")
-    terms = query_terms(topics)
+    terms = settle(query_terms(topics))
     if kind == "bm25":
         scores = scoring.bm25_scores(terms, index, k1, b)
     elif kind == "bm25+rm3":
@@ -64,7 +64,7 @@ def search(
         shifted = first.join(best, "topic_id").select(
             "topic_id", "doc_id", F.exp(F.col("score") - F.col("best")).alias("score")
         )
-        scores = scoring.qld_scores(scoring.rm3_terms(terms, index, shifted, **(rm3 or {})), index, mu)
+        scores = scoring.qld_scores(settle(scoring.rm3_terms(terms, index, shifted, **(rm3 or {}))), index, mu)
     return ranked(scores, ["topic_id"], by_score("doc_id"), top=topk)
 
 
@@ -85,7 +85,8 @@ def with_text(hits: DataFrame, docs: DataFrame, topk: int | None = None) -> Data
     Ranks first, texts last: only the ids of the hits are joined to the corpus.
     """
     kept = hits if topk is None else hits.where(F.col("rank") <= topk)
-    texts = docs.select("doc_id", "text").join(small(kept.select("doc_id").distinct()), "doc_id", "left_semi")
+    kept = settle(kept)
+    texts = docs.select("doc_id", "text").join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     return kept.join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

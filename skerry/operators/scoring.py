@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import place
 from .index import Index, background, with_df
-from .tables import by_score, ranked, small
+from .tables import by_score, ranked, settle
 
 UNSEEN = 1e-12
 
@@ -43,12 +43,13 @@ def bm25_part(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1:
 def matches(terms: DataFrame, index: Index) -> DataFrame:
     """Query terms joined to their postings, with df and collection statistics.
 
-    The query side is broadcast if it is small, so the tokens are filtered in
-    the scan's stage and the only large shuffle is that of matching postings.
+    ``terms`` should be a settled table: Spark broadcasts it by its size, so
+    the tokens are filtered in the scan's stage, and the only large shuffle is
+    that of matching postings.
     """
-    wanted = small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
     postings = with_df(index.postings(wanted))
-    return postings.join(small(terms), "term").crossJoin(F.broadcast(index.stats))  # stats: one row
+    return postings.join(terms, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
 
 
 def bm25_scores(terms: DataFrame, index: Index, k1: float = 0.9, b: float = 0.4) -> DataFrame:
@@ -80,19 +81,19 @@ def qld_scores(terms: DataFrame, index: Index, mu: float = 1000.0) -> DataFrame:
 
 def _qld(terms: DataFrame, index: Index, mu: float) -> DataFrame:
     check_mu(mu)
-    wanted = small(terms.select("term").distinct())
-    seen = background(index).join(wanted, "term", "left_semi").select("term", "p")
-    smoothed = terms.join(small(seen), "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN)))
+    wanted = terms.select("term").distinct()
+    seen = background(index, wanted).select("term", "p")
+    smoothed = settle(terms.join(seen, "term", "left").withColumn("p", F.coalesce("p", F.lit(UNSEEN))))
     whole = smoothed.groupBy("topic_id").agg(
         F.sum(F.col("weight") * F.ln(mu * F.col("p"))).alias("rest"), F.sum("weight").alias("weights")
     )
     hit = F.sum(F.col("weight") * F.ln(1.0 + F.col("tf") / (mu * F.col("p"))))
     found = (
         index.postings(wanted)
-        .join(small(smoothed), "term")
+        .join(smoothed, "term")
         .groupBy("topic_id", "doc_id")
         .agg(hit.alias("hit"), F.first("dl").alias("dl"))
-        .join(small(whole), "topic_id")
+        .join(whole, "topic_id")
     )
     score = F.col("hit") + F.col("rest") - F.col("weights") * F.ln(F.col("dl") + mu)
     return found.select("topic_id", "doc_id", score.alias("score"))
@@ -125,16 +126,17 @@ def rm3_terms(
     the normalised original query.
     """
     check_rm3(fb_terms, fb_docs, original_weight)
-    feedback = ranked(first_pass, ["topic_id"], by_score("doc_id"), top=fb_docs).select("topic_id", "doc_id", "score")
-    docs = small(feedback.select("doc_id").distinct())
+    feedback = ranked(first_pass, ["topic_id"], by_score("doc_id"), top=fb_docs)
+    feedback = settle(feedback.select("topic_id", "doc_id", "score"))
+    docs = feedback.select("doc_id").distinct()
     tokens = index.tokens.join(docs, "doc_id", "left_semi")
     tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     model = (
-        tf.join(small(feedback), "doc_id")
+        tf.join(feedback, "doc_id")
         .groupBy("topic_id", "term")
         .agg(place(F.sum(F.col("score") * F.col("tf") / F.col("dl"))).alias("score"))
     )
-    best = ranked(model, ["topic_id"], by_score("term"), top=fb_terms)
+    best = settle(ranked(model, ["topic_id"], by_score("term"), top=fb_terms))
     total = best.groupBy("topic_id").agg(F.sum("score").alias("total"))
     expansion = best.join(total, "topic_id").select("topic_id", "term", (F.col("score") / F.col("total")).alias("e"))
     length = terms.groupBy("topic_id").agg(F.sum("weight").alias("length"))
@@ -155,4 +157,4 @@ def bm25_rm3_scores(
     length = terms.groupBy("topic_id").agg(F.sum("weight").alias("length"))
     unit = terms.join(length, "topic_id").select("topic_id", "term", (F.col("weight") / F.col("length")).alias("weight"))
     first = bm25_scores(unit, index, k1, b)
-    return bm25_scores(rm3_terms(unit, index, first, **feedback), index, k1, b)
+    return bm25_scores(settle(rm3_terms(unit, index, first, **feedback)), index, k1, b)

@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it is counted and has at most this many rows.
+#: Query-sized sets that the driver may hold.
 BROADCAST_ROWS = 50_000
 
+_OWN: dict[str, str] = {}
+
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint, if it really has at most ``rows`` rows.
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
 
-    Meant for query-sized sides. The side is persisted and counted, so what it
-    is made from runs once, however often the side is used. Larger (or
-    streaming) sides get no hint, so Spark joins them by a shuffle.
+    What several branches of a plan read is computed once, the plans stay
+    small, a lost executor doesn't bring back the work before, and Spark
+    knows the table's exact size: it broadcasts the table by itself if that is
+    below its threshold, and shuffles it otherwise. The folder is
+    ``spark.checkpoint.dir``; only where that is unset a local one is used.
+    Streams are returned as they are.
     """
     if df.isStreaming:
         return df
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='skerry-')}")
+    path = f"{base.rstrip('/')}/skerry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files give fewer partitions than there are
+    cores (a small table in one row group); tables of many splits stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", top: int | None = None) -> DataFrame:

@@ -76,17 +76,22 @@ def _joined(vectors: DataFrame, group: list[str]) -> DataFrame:
     a = vectors.select(*group, "term", F.col("i").alias("a"), F.col("w").alias("wa"))
     b = vectors.select(*group, "term", F.col("i").alias("b"), F.col("w").alias("wb"))
     return a.join(b, [*group, "term"]).where("a < b").groupBy(*group, "a", "b").agg(
-        place(F.sum(F.col("wa") * F.col("wb"))).alias("sim")
+        F.sum(F.col("wa") * F.col("wb")).alias("sim")
     )
 
 
 def dot_pairs(vectors: DataFrame, group: list[str]) -> DataFrame:
     """``(*group, a, b, sim)`` of pairs a < b that share a term."""
-    return _joined(vectors, group)
+    return _joined(vectors, group).withColumn("sim", place(F.col("sim")))
 
 
 def cosine_pairs(vectors: DataFrame, group: list[str]) -> DataFrame:
     """Pairs a < b that share a term, with their cosine; others have cosine 0."""
+    return raw_cosine_pairs(vectors, group).withColumn("sim", place(F.col("sim")))
+
+
+def raw_cosine_pairs(vectors: DataFrame, group: list[str]) -> DataFrame:
+    """As :func:`cosine_pairs`, before rounding."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*group, "i")))
     return _joined(vectors.withColumn("w", F.coalesce(F.col("w") / F.nullif(norm, F.lit(0.0)), F.lit(0.0))), group)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..functions.scores import normalize, place
+from ..functions.scores import normalize, place, place_again
 from ..operators import (
     dense,
     evaluate,
@@ -30,6 +30,7 @@ from ..operators import (
 )
 from ..operators import index as ix
 
+from ..operators.tables import settle, spread
 from ..sources import files
 from . import oracles, retrieval
 
@@ -47,7 +48,8 @@ class Tables:
     """Shared, lazily built inputs of the queries over one directory.
 
     What several branches of a plan read (all bounded by topics times a depth)
-    is persisted, so it is computed once.
+    is settled in a table, so it is computed once; two queries over the same
+    directory share it.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -58,7 +60,7 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return spread(self.read("documents").select("doc_id", "text"))
 
     @cached_property
     def topics(self) -> DataFrame:
@@ -67,7 +69,7 @@ class Tables:
 
     @cached_property
     def terms(self) -> DataFrame:
-        return ix.query_terms(self.topics)
+        return settle(ix.query_terms(self.topics))
 
     @cached_property
     def index(self) -> ix.Index:
@@ -76,14 +78,14 @@ class Tables:
     @cached_property
     def qrels(self) -> DataFrame:
         items = self.read("benchmark").select(F.col("item_id").alias("topic_id"), "text")
-        return judge.containing(items, self.docs).persist()
+        return settle(judge.containing(items, self.docs))
 
     def run(self, topk: int, **options) -> DataFrame:
         return retrieve.search(self.topics, self.index, topk=topk, **options)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self.run(CANDIDATES).persist()
+        return settle(self.run(CANDIDATES))
 
     @cached_property
     def passages(self) -> DataFrame:
@@ -93,19 +95,19 @@ class Tables:
     def topic_passages(self) -> DataFrame:
         wanted = self.candidates.select("doc_id").distinct()
         texts = self.docs.join(wanted, "doc_id", "left_semi")
-        return passages.of_candidates(self.candidates, passages.extract(texts)).persist()
+        return settle(passages.of_candidates(self.candidates, passages.extract(texts)))
 
     @cached_property
     def best(self) -> DataFrame:
-        return passages.rank_passages(self.topic_passages, self.topics, topk=PASSAGES).persist()
+        return settle(passages.rank_passages(self.topic_passages, self.topics, topk=PASSAGES))
 
     @cached_property
     def members(self) -> DataFrame:
-        return retrieval.cluster_members(self.best, THRESHOLD, CLUSTER_SIZE).persist()
+        return settle(retrieval.cluster_members(self.best, THRESHOLD, CLUSTER_SIZE))
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.compute(self.members).persist()
+        return settle(features.compute(self.members))
 
     @cached_property
     def instances(self) -> DataFrame:
@@ -115,9 +117,8 @@ class Tables:
     @cached_property
     def lifted(self) -> DataFrame:
         seeds = self.members.select("topic_id", "cluster_id").distinct()
-        return fuse.rerank_passages(
-            self.members, seeds.select("topic_id", "cluster_id", (1.0 / F.col("cluster_id")).alias("score"))
-        )
+        scores = seeds.select("topic_id", "cluster_id", (1.0 / F.col("cluster_id")).alias("score"))
+        return settle(fuse.rerank_passages(self.members, scores))
 
     @cached_property
     def fused(self) -> DataFrame:
@@ -143,9 +144,26 @@ class Tables:
 FEATURE_NAMES = sorted(features.FEATURES)
 
 
+_LAST: dict = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Inputs over ``sf_dir``; those of the directory last used are kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Tables(spark, sf_dir)
+    return _LAST[key]
+
+
+def forget() -> None:
+    """Build the inputs anew for the next query."""
+    _LAST.clear()
+
+
 def query(function):
     """Register ``function(tables)`` under its name."""
-    QUERIES[function.__name__] = lambda spark, sf_dir: function(Tables(spark, sf_dir))
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(tables(spark, sf_dir))
     return function
 
 
@@ -455,10 +473,10 @@ for _how in ("max", "sum", "mean"):
 # Learning to rank ---------------------------------------------------------------------------
 
 
-def _scaled(t, mode):
+def _scaled(t: Tables, mode: str) -> DataFrame:
     scaler = ltr.fit_scaler(t.features, FEATURE_NAMES, mode)
     scaled = ltr.apply_scaler(t.features, scaler, FEATURE_NAMES)
-    return scaled.select("topic_id", "cluster_id", *(F.round(n, 5).alias(n) for n in FEATURE_NAMES))
+    return scaled.select("topic_id", "cluster_id", *(place_again(F.col(n)).alias(n) for n in FEATURE_NAMES))
 
 
 @query
@@ -471,7 +489,7 @@ def scale_zscore(t):
     return _scaled(t, "zscore")
 
 
-def _published(t):
+def _published(t: Tables) -> DataFrame:
     score = ltr.linear_score(list(ltr.PUBLISHED), FEATURE_NAMES)
     return t.features.select("topic_id", "cluster_id", score.alias("score"))
 
@@ -495,8 +513,7 @@ def norm_scores(t):
 @query
 def cluster_blend(t):
     scored = _published(t).withColumnRenamed("score", "svm")
-    blended = fuse.blend_clusters(scored, 0.5, "minmax")
-    return blended.select("topic_id", "cluster_id", F.round("score", 5).alias("score"))
+    return fuse.blend_clusters(scored, 0.5, "minmax")
 
 
 @query
@@ -512,7 +529,7 @@ def svmrank_lines(t):
 
 @query
 def ranksvm_train(t):
-    model = ltr.train_ranksvm(t.instances.persist(), FEATURE_NAMES)
+    model = ltr.train_ranksvm(settle(t.instances), FEATURE_NAMES)
     rows = list(zip(model.names, model.weights))
     return t.spark.createDataFrame(rows, "feature string, weight double")
 
@@ -524,7 +541,7 @@ def linear_svc(t):
         F.log1p("n_chars").alias("length"), F.size(fx.sentences(F.col("text"))).cast("double").alias("sentences"),
         (F.size(F.array_distinct(fx.tokenize(F.col("text")))) / (F.size(fx.tokenize(F.col("text"))) + 1)).alias("distinct"),
     )
-    model = ltr.train_linear_svc(rows.persist(), ["distinct", "length", "sentences"])
+    model = ltr.train_linear_svc(settle(rows), ["distinct", "length", "sentences"])
     return t.spark.createDataFrame([*zip(model.names, model.weights), ("bias", model.bias)], "feature string, weight double")
 
 

@@ -47,7 +47,7 @@ CTES = {
     "mn": "SELECT topic_id, cluster_id, count(*) AS n FROM mem GROUP BY ALL",
     "mv": "SELECT topic_id, cluster_id, pos, term, tf * (ln((n + 1e0) / (count(*) OVER (PARTITION BY topic_id, cluster_id, term) + 1e0)) + 1e0) AS w FROM mtf JOIN mn USING (topic_id, cluster_id)",
     "mnorm": "SELECT topic_id, cluster_id, pos, sqrt(sum(w * w)) AS norm FROM mv GROUP BY ALL",
-    "mcos": "SELECT a.topic_id, a.cluster_id, a.pos AS a, b.pos AS b, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) AS sim FROM mv a JOIN mv b ON a.topic_id = b.topic_id AND a.cluster_id = b.cluster_id AND a.term = b.term AND a.pos < b.pos JOIN mnorm x ON x.topic_id = a.topic_id AND x.cluster_id = a.cluster_id AND x.pos = a.pos JOIN mnorm y ON y.topic_id = b.topic_id AND y.cluster_id = b.cluster_id AND y.pos = b.pos GROUP BY ALL",
+    "mcos": "SELECT a.topic_id, a.cluster_id, a.pos AS a, b.pos AS b, sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)) AS sim FROM mv a JOIN mv b ON a.topic_id = b.topic_id AND a.cluster_id = b.cluster_id AND a.term = b.term AND a.pos < b.pos JOIN mnorm x ON x.topic_id = a.topic_id AND x.cluster_id = a.cluster_id AND x.pos = a.pos JOIN mnorm y ON y.topic_id = b.topic_id AND y.cluster_id = b.cluster_id AND y.pos = b.pos GROUP BY ALL",
     "f_sim": "SELECT topic_id, cluster_id, round(CASE WHEN any_value(n) < 2 THEN 0e0 ELSE coalesce(sum(sim), 0) / (any_value(n) * (any_value(n) - 1) / 2e0) END, 6) AS value FROM mn LEFT JOIN mcos USING (topic_id, cluster_id) GROUP BY ALL",
     "f_docs": "SELECT topic_id, cluster_id, CAST(count(DISTINCT doc_id) AS DOUBLE) AS value FROM mem GROUP BY ALL",
     "feat": "SELECT topic_id, cluster_id, s.value AS prior_intra_similarity_mean, t.value AS prior_stopword_ratio, e.value AS prior_term_entropy, u.value AS prior_unique_docs, d.value AS qdep_rr_cluster_docs_max, p.value AS qdep_rr_cluster_passages_max FROM f_sim s JOIN f_stop t USING (topic_id, cluster_id) JOIN f_ent e USING (topic_id, cluster_id) JOIN f_docs u USING (topic_id, cluster_id) JOIN f_rrd d USING (topic_id, cluster_id) JOIN f_rrp p USING (topic_id, cluster_id)",
@@ -146,7 +146,7 @@ FEATURES = sorted(FEATURE_SHORT.values())
 
 def _doc_level(how: str) -> str:
     of = {"max": "max", "sum": "sum", "mean": "avg"}[how]
-    names = ", ".join(f"coalesce(round(any_value({n}), 6), 0e0) AS {n}" for n in FEATURES)
+    names = ", ".join(f"coalesce(round(any_value({n}) + 1e-9, 6), 0e0) AS {n}" for n in FEATURES)
     inner = ", ".join(f"{of}({n}) AS {n}" for n in FEATURES)
     return (
         f"SELECT c.topic_id, c.doc_id, {names}, CAST(any_value(q.rel) IS NOT NULL AS INTEGER) AS label FROM cand c "
@@ -161,7 +161,7 @@ def _scale(mode: str) -> str:
             offset, width = f"min({n}) OVER ()", f"(max({n}) OVER () - min({n}) OVER ())"
         else:
             offset, width = f"avg({n}) OVER ()", f"stddev_pop({n}) OVER ()"
-        return f"round(CASE WHEN {width} <= 1e-12 THEN 0e0 ELSE ({n} - {offset}) / {width} END, 5) AS {n}"
+        return f"round(CASE WHEN {width} <= 1e-12 THEN 0e0 ELSE ({n} - {offset}) / {width} END + 1e-9, 6) AS {n}"
 
     return f"SELECT topic_id, cluster_id, {', '.join(map(one, FEATURES))} FROM feat"
 
@@ -261,7 +261,7 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
     "scale_zscore": _scale("zscore").replace("topic_id, cluster_id", "topic_id, CAST(cluster_id AS INTEGER) AS cluster_id", 1),
     "svm_score_published": "SELECT topic_id, CAST(cluster_id AS INTEGER) AS cluster_id, score FROM pub",
     "norm_scores": f"SELECT topic_id, CAST(cluster_id AS INTEGER) AS cluster_id, round({_norm('score', 'minmax')}, 5) AS minmax, round({_norm('score', 'zscore')}, 5) AS zscore FROM pub",
-    "cluster_blend": f"SELECT topic_id, CAST(cluster_id AS INTEGER) AS cluster_id, round(round({_norm('score', 'minmax')} * 0.5e0 + {_norm('(1e0 / cluster_id)', 'minmax')} * 0.5e0, 6), 5) AS score FROM pub",
+    "cluster_blend": f"SELECT topic_id, CAST(cluster_id AS INTEGER) AS cluster_id, round({_norm('score', 'minmax')} * 0.5e0 + {_norm('(1e0 / cluster_id)', 'minmax')} * 0.5e0, 6) AS score FROM pub",
     "swapped_pairs": "SELECT t.topic_id, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(coalesce(swapped, 0) AS BIGINT) AS swapped, round(coalesce(swapped / pairs, 0), 6) AS fraction FROM (SELECT DISTINCT topic_id FROM pub) t LEFT JOIN (SELECT x.topic_id, count(*) AS pairs, sum(CASE WHEN x.score <= y.score THEN 1 ELSE 0 END) AS swapped FROM (SELECT * FROM pub JOIN lab USING (topic_id, cluster_id)) x JOIN (SELECT * FROM pub JOIN lab USING (topic_id, cluster_id)) y ON x.topic_id = y.topic_id AND x.label > y.label GROUP BY x.topic_id) s USING (topic_id)",
     "svmrank_lines": f"SELECT topic_id, CAST(cluster_id AS INTEGER) AS item, {_LINE} AS line FROM feat JOIN lab USING (topic_id, cluster_id)",
     "passage_rerank": "SELECT topic_id, doc_id, p_idx, round(score, 6) AS score, CAST(p_rank AS INTEGER) AS p_rank, CAST(new_rank AS INTEGER) AS new_rank FROM lifted",
@@ -273,7 +273,7 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
     "dense_ip": _dense("list_inner_product(q, v)"),
     "dense_l2": _dense("-list_distance(q, v)"),
     "two_stage_blend": f"""SELECT topic_id, doc_id, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
-  SELECT topic_id, doc_id, round(CASE WHEN rank <= 10 THEN 0.3e0 * ce + 0.7e0 * dense ELSE dense END, 6) AS score FROM (
+  SELECT topic_id, doc_id, round(CASE WHEN rank <= 10 THEN 0.3e0 * ce + 0.7e0 * dense ELSE dense END + 1e-9, 6) AS score FROM (
     SELECT query_id AS topic_id, vec_id AS doc_id, dense, rank, CASE WHEN len(qs) = 0 THEN 0e0 ELSE len(list_intersect(qs, ts)) / CAST(len(qs) AS DOUBLE) END AS ce FROM (
       SELECT d.*, list_distinct(regexp_extract_all(lower(qtext), {W})) AS qs, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {W})) AS ts FROM (
         SELECT query_id, vec_id, qtext, round(list_cosine_similarity(q, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM dq, dv QUALIFY rank <= 50) d

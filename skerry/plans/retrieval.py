@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, features, fuse, ltr, passages, retrieve, vectorize
 from ..operators.index import build_index
-from ..operators.tables import ranked
+from ..operators.tables import ranked, settle
 from .config import Bm25Config, ClusterConfig, DenseConfig
 
 
@@ -32,25 +32,25 @@ def clustered_tables(topics: DataFrame, docs: DataFrame, config: ClusterConfig |
 
     Documents are ranked before any text is joined; passages are extracted
     once per candidate document, not per topic. The three tables are bounded
-    by topics times a depth and persisted, as later steps read them often.
+    by topics times a depth and settled, as later steps read them often.
     """
     c = config or ClusterConfig()
-    candidates = retrieve.search(
-        topics, build_index(docs), model=c.doc_model, topk=c.candidates, k1=c.k1, b=c.b, rm3=c.rm3
-    ).persist()
+    candidates = settle(
+        retrieve.search(topics, build_index(docs), model=c.doc_model, topk=c.candidates, k1=c.k1, b=c.b, rm3=c.rm3)
+    )
     wanted = candidates.where(F.col("rank") <= c.content_topk)
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     found = passages.of_candidates(wanted, passages.extract(texts, c.window, c.least, c.overlap))
-    best = passages.rank_passages(
-        found, topics, model=c.passage_model, topk=c.passages, k1=c.passage_k1, b=c.passage_b
-    ).persist()
-    return Clustered(candidates, best, cluster_members(best, c.threshold, c.cluster_size).persist())
+    best = settle(
+        passages.rank_passages(found, topics, model=c.passage_model, topk=c.passages, k1=c.passage_k1, b=c.passage_b)
+    )
+    return Clustered(candidates, best, settle(cluster_members(best, c.threshold, c.cluster_size)))
 
 
 def cluster_members(best: DataFrame, threshold: float, size: int) -> DataFrame:
     """``(topic_id, cluster_id, pos, p_rank, doc_id, p_idx, doc_rank, content)``."""
     items = best.select("topic_id", F.col("p_rank").alias("i"), "content")
-    pairs = vectorize.cosine_pairs(vectorize.tfidf(items, ["topic_id"]), ["topic_id"]).persist()
+    pairs = settle(vectorize.cosine_pairs(vectorize.tfidf(items, ["topic_id"]), ["topic_id"]))
     grouped = vectorize.clusters(items, pairs, ["topic_id"], threshold, size).withColumnRenamed("i", "p_rank")
     return grouped.join(
         best.select("topic_id", "p_rank", "doc_id", "p_idx", "doc_rank", "content"), ["topic_id", "p_rank"]
