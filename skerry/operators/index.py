@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .tables import settle
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,13 @@ class Index:
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """Tokenise ``docs`` once into a forward index in the shared folder.
+
+    Lengths and statistics then read one narrow column of it, and queries its
+    tokens; without it every branch of a plan would tokenise the corpus again.
+    """
     words = docs.select(F.col(doc_id).alias("doc_id"), fx.tokenize(F.col(text)).alias("words"))
-    sized = words.withColumn("dl", F.size("words"))
+    sized = settle(words.withColumn("dl", F.size("words")))
     tokens = sized.select("doc_id", "dl", F.explode("words").alias("term"))
     lengths = sized.select("doc_id", "dl")
     stats = lengths.agg(
