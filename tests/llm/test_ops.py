@@ -243,11 +243,9 @@ def test_mix(spark, docs):
         rate = total / len(size) / size[r.source]
         u = int(hashlib.md5(f"7:{'-' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
         k, c = 0, math.exp(-rate)
-        p = c
-        while c <= u:
+        while c <= u:  # in log space: the rate of a tiny source is high
             k += 1
-            p *= rate / k
-            c += p
+            c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
         want += k
         assert sum(x.doc_id == r.doc_id and x.source == r.source for x in out) == k * sum(
             y.doc_id == r.doc_id and y.source == r.source for y in rows
