@@ -7,75 +7,137 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clamp01, place, place_again
 from ..functions.vectors import l2_normalize
-from .tables import BROADCAST_ROWS, by_score, ranked
+from .tables import by_score, ranked
 
 METRICS = ("ip", "cosine", "l2")
 
 
+#: Scores that a Python worker holds at once, times the dimensions for ``l2``.
+SCORE_CELLS = 4_000_000
+
+
+def _best_of(ids, vectors, own, queries, topk: int, metric: str, exclude_self: bool):
+    """Best ``topk`` rows of ``vectors`` for every query, as three columns.
+
+    Queries are scored a few at a time, so that no more than ``SCORE_CELLS``
+    numbers exist at once, whatever the sizes of the two sides.
+    """
+    import numpy as np
+
+    def unit(m):
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    if vectors.shape[1] != queries.shape[1]:
+        raise ValueError("a vector's dimension differs from the queries'")
+    if metric == "cosine":
+        vectors, queries = unit(vectors), unit(queries)
+    width = len(ids) * (vectors.shape[1] if metric == "l2" else 1)
+    step = max(1, SCORE_CELLS // max(width, 1))
+    found = []
+    for at in range(0, len(own), step):
+        q = queries[at : at + step]
+        if metric == "l2":
+            scores = -np.sqrt(((q[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
+        else:
+            scores = q @ vectors.T
+        for query, row in zip(own[at : at + step], np.round(scores, 6)):
+            if exclude_self:
+                row = np.where(ids == query, -np.inf, row)
+            best = np.lexsort((ids, -row))[:topk]
+            best = best[np.isfinite(row[best])]
+            found.append((np.full(len(best), query), ids[best], row[best]))
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.array([], t) for t in ("i8", "i8", "f8")]
+
+
+RESULT = "query_id bigint, vec_id bigint, score double"
+
+
 def exact_topk(
-    vectors: DataFrame, queries: DataFrame, topk: int, metric: str = "cosine", exclude_self: bool = False
+    vectors: DataFrame,
+    queries: DataFrame,
+    topk: int,
+    metric: str = "cosine",
+    exclude_self: bool = False,
+    *,
+    block_rows: int = 4096,
+    shard_rows: int = 65_536,
 ) -> DataFrame:
     """``(query_id, vec_id, score, rank)``, score higher is better.
 
     ``vectors`` and ``queries`` are ``(id, embedding)``. ``ip`` is the dot
     product, ``cosine`` the dot product of unit vectors, ``l2`` the negative
-    Euclidean distance. Queries are a driver-side set of at most
-    ``BROADCAST_ROWS`` rows; each Arrow batch of vectors keeps its own best
-    ``topk`` per query, so only those are shuffled.
+    Euclidean distance; null and empty vectors take no part.
+
+    Up to ``block_rows`` queries are broadcast and the vectors aren't
+    shuffled. More queries are dealt out to blocks of about that size and the
+    vectors to shards of about ``shard_rows``; a task then holds one shard and
+    one block. Either way only the best ``topk`` per query and task go on.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark = vectors.sparkSession
     if topk <= 0:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
-    asked = queries.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).limit(BROADCAST_ROWS + 1).collect()
-    if len(asked) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries: search them in blocks")
-    asked = [r for r in asked if r[1]]
+        return spark.createDataFrame([], f"{RESULT}, rank int")
+
+    def clean(df: DataFrame) -> DataFrame:
+        return df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).where(F.size("embedding") > 0)
+
+    rows, asking = clean(vectors), clean(queries)
+    asked = asking.limit(block_rows + 1).collect()  # one block at most
     if len({len(r[1]) for r in asked}) > 1:
         raise ValueError("queries of different dimensions")
-    shared = spark.sparkContext.broadcast(asked)
+    search = _search_shards if len(asked) > block_rows else _search_batches
+    options = (topk, metric, exclude_self)
+    scored = search(rows, asking if len(asked) > block_rows else asked, options, block_rows, shard_rows)
+    return ranked(scored, ["query_id"], by_score("vec_id"), top=topk)
+
+
+def _search_batches(rows: DataFrame, asked: list, options: tuple, block_rows: int, shard_rows: int) -> DataFrame:
+    """One broadcast block of queries against every Arrow batch of vectors."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids = np.array([r[0] for r in shared.value], np.int64)
-        q = np.array([r[1] for r in shared.value], float).reshape(len(ids), -1)
-
-        def unit(m):
-            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
+        own = np.array([r[0] for r in shared.value], np.int64)
         for batch in batches:
-            found = [(i, v) for i, v in zip(*(c.to_pylist() for c in batch.columns)) if v]
-            if not found or not len(ids):
+            if not batch.num_rows or not len(own):
                 continue
-            if any(len(v) != q.shape[1] for _, v in found):
-                raise ValueError("a vector's dimension differs from the queries'")
-            own = np.array([i for i, _ in found], np.int64)
-            m = np.array([v for _, v in found], float)
-            if metric == "cosine":
-                scores = unit(q) @ unit(m).T
-            elif metric == "ip":
-                scores = q @ m.T
-            else:
-                scores = -np.sqrt(np.maximum(((q[:, None, :] - m[None, :, :]) ** 2).sum(axis=2), 0))
-            scores = np.round(scores, 6)
-            if exclude_self:
-                scores = np.where(own[None, :] == ids[:, None], -np.inf, scores)
-            out = []
-            for k, row in enumerate(scores):
-                best = np.lexsort((own, -row))[:topk]
-                out.append((np.full(len(best), ids[k]), own[best], row[best]))
-            cols = [np.concatenate(c) for c in zip(*out)]
-            keep = np.isfinite(cols[2])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in cols], names=["query_id", "vec_id", "score"]
-            )
+            wanted = np.array([r[1] for r in shared.value], float)
+            m = np.array(batch.column("embedding").to_pylist(), float)
+            found = _best_of(batch.column("id").to_numpy(), m, own, wanted, *options)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
-    scored = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    return ranked(scored, ["query_id"], by_score("vec_id"), top=topk)
+    return rows.mapInArrow(run, RESULT)
+
+
+def _search_shards(rows: DataFrame, asking: DataFrame, options: tuple, block_rows: int, shard_rows: int) -> DataFrame:
+    """Every block of queries meets every shard of vectors in one task."""
+    n_blocks = max(1, -(-asking.count() // block_rows))
+    n_shards = max(1, -(-rows.count() // shard_rows))
+
+    def dealt(count: int):
+        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+
+    def all_of(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = rows.select("id", "embedding", dealt(n_shards).alias("shard"), all_of(n_blocks).alias("block"))
+    right = asking.select("id", "embedding", dealt(n_blocks).alias("block"), all_of(n_shards).alias("shard"))
+
+    def run(shard, block):
+        import numpy as np
+        import pyarrow as pa
+
+        columns = [[], [], []]
+        if shard.num_rows and block.num_rows:
+            m, q = (np.array(t.column("embedding").to_pylist(), float) for t in (shard, block))
+            columns = _best_of(shard.column("id").to_numpy(), m, block.column("id").to_numpy(), q, *options)
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("query_id", "vec_id", "score"), columns, kinds)})
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, RESULT)
 
 
 def lsh_topk(vectors: DataFrame, queries: DataFrame, topk: int, *, tables: int = 8, width: float = 0.5, seed: int = 42) -> DataFrame:

@@ -80,7 +80,7 @@ CTES = {
     "q2": "SELECT coalesce(o.topic_id, e.topic_id) AS topic_id, coalesce(o.term, e.term) AS term, 0.5e0 * coalesce(o.weight, 0) + 0.5e0 * coalesce(e.e, 0) AS weight FROM q1 o FULL JOIN rmn e ON o.topic_id = e.topic_id AND o.term = e.term",
     "b2": "SELECT topic_id, doc_id, round(sum(weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM q2 JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL",
     # Dense.
-    "dq": f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, array_to_string(list_slice(regexp_extract_all(lower(coalesce(text, '')), {W}), 1, 4), ' ') AS qtext FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id < 10",
+    "dq": f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, array_to_string(list_slice(regexp_extract_all(lower(coalesce(text, '')), {W}), 1, 4), ' ') AS qtext FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0",
     "dv": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
 }
 
@@ -243,8 +243,8 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
     "kl_pairs": """SELECT topic_id, a, b, round(exp(-0.5e0 * sum((p - q) * ln(p / q))), 6) AS sim FROM (
   SELECT topic_id, a, b, p / sum(p) OVER (PARTITION BY topic_id, a, b) AS p, q / sum(q) OVER (PARTITION BY topic_id, a, b) AS q FROM (
     SELECT u.topic_id, u.a, u.b, coalesce(x.w, 0) + 1e-9 AS p, coalesce(y.w, 0) + 1e-9 AS q FROM (
-      SELECT DISTINCT x.topic_id, x.i AS a, y.i AS b, z.term FROM (SELECT DISTINCT topic_id, CAST(p_rank AS INTEGER) AS i FROM best WHERE p_rank <= 8) x
-      JOIN (SELECT DISTINCT topic_id, CAST(p_rank AS INTEGER) AS i FROM best WHERE p_rank <= 8) y ON x.topic_id = y.topic_id AND x.i < y.i
+      SELECT DISTINCT x.topic_id, x.i AS a, y.i AS b, z.term FROM (SELECT DISTINCT topic_id, CAST(p_rank AS INTEGER) AS i FROM best) x
+      JOIN (SELECT DISTINCT topic_id, CAST(p_rank AS INTEGER) AS i FROM best) y ON x.topic_id = y.topic_id AND x.i < y.i
       JOIN btf z ON z.topic_id = x.topic_id AND (z.i = x.i OR z.i = y.i)) u
     LEFT JOIN (SELECT topic_id, i, term, tf / sum(tf) OVER (PARTITION BY topic_id, i) AS w FROM btf) x ON x.topic_id = u.topic_id AND x.i = u.a AND x.term = u.term
     LEFT JOIN (SELECT topic_id, i, term, tf / sum(tf) OVER (PARTITION BY topic_id, i) AS w FROM btf) y ON y.topic_id = u.topic_id AND y.i = u.b AND y.term = u.term)) GROUP BY ALL""",
@@ -278,7 +278,7 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
       SELECT d.*, list_distinct(regexp_extract_all(lower(qtext), {W})) AS qs, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {W})) AS ts FROM (
         SELECT query_id, vec_id, qtext, round(list_cosine_similarity(q, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM dq, dv QUALIFY rank <= 50) d
       LEFT JOIN documents ON doc_id = vec_id))) QUALIFY rank <= 20""",
-    "corpus_jsonl": r"""SELECT doc_id, sha256('{"docid":"' || doc_id || '","text":"' || replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || '"}') AS sha256 FROM documents WHERE NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F\x7F]')""",
+    "corpus_jsonl": r"""SELECT doc_id, sha256('{"docid":"' || doc_id || '","text":' || to_json(coalesce(text, '')) || '}') AS sha256 FROM documents""",
     "config_hash": "SELECT doc_id, p_idx, substr(sha256(doc_id || '|' || p_idx || '|' || content), 1, 20) AS key FROM psg",
     "passage_fingerprint": "SELECT doc_id, substr(sha256(string_agg(doc_id || chr(0) || p_idx || chr(0) || content, chr(10) ORDER BY p_idx)), 1, 20) AS fingerprint FROM psg GROUP BY doc_id",
     "expand_static": """SELECT topic_id, array_to_string(list_concat(words, coalesce(more, [])), ' ') AS text FROM (SELECT topic_id, list_distinct_ordered AS words FROM (
