@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.scores import place
-from ..functions.vectors import jaccard, kl_similarity
+from ..functions.vectors import jaccard
 from .tables import ranked
 
 VECTORIZERS = {
@@ -110,14 +110,44 @@ def jaccard_pairs(items: DataFrame, group: list[str]) -> DataFrame:
     return array_pairs(items, group, F.array_distinct(fx.tokenize(F.col("content"))), jaccard)
 
 
-def kl_pairs(items: DataFrame, group: list[str]) -> DataFrame:
-    """Smoothed Kullback-Leibler similarity of unigram models."""
-    weights = unigram_lm(items, group).groupBy(*group, "i").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m")
+def kl_pairs(items: DataFrame, group: list[str], smooth: float = 1e-9) -> DataFrame:
+    """Smoothed Kullback-Leibler similarity of unigram models, for all pairs
+    a < b of a group: exp of minus half the symmetric divergence.
+
+    With ``l(w) = ln(w + smooth) - ln(smooth)`` the symmetric divergence of two
+    models is a sum over the terms of each, less a correction over the terms
+    that they share. So only shared terms are joined, and the rest is one
+    number per item; no model is built as a map.
+    """
+    lm = unigram_lm(items, group).withColumn("l", F.log(F.col("w") + smooth) - F.log(F.lit(smooth)))
+    own = lm.groupBy(*group, "i").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("w") * F.col("l")).alias("wl"),
+        F.sum("l").alias("ls"),
     )
-    full = items.select(*group, "i").join(weights, [*group, "i"], "left")
-    empty = F.create_map().cast("map<string,double>")
-    return array_pairs(full, group, F.coalesce("m", empty), kl_similarity)
+    full = items.select(*group, "i").join(own, [*group, "i"], "left").na.fill(0, ["n", "wl", "ls"])
+
+    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select(*group, F.col("i").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    keys = [*group, "a", "b"]
+    left, right = (side(lm, name, "term", "w", "l").withColumnRenamed(f"term_{name}", "term") for name in "ab")
+    # (p - q)(l(p) - l(q)) - p l(p) - q l(q)
+    crossed = -(F.col("w_a") * F.col("l_b") + F.col("w_b") * F.col("l_a"))
+    shared = left.join(right, [*group, "term"]).where("a < b").groupBy(*keys).agg(
+        F.sum(crossed).alias("crossed"), F.count("*").alias("both")
+    )
+    pairs = side(full, "a", "n", "wl", "ls").join(side(full, "b", "n", "wl", "ls"), group).where("a < b")
+    pairs = pairs.join(shared, keys, "left").na.fill(0, ["crossed", "both"])
+    terms = F.col("n_a") + F.col("n_b") - F.col("both")
+    scale = 1.0 + terms * smooth
+    usual = (F.col("wl_a") + F.col("wl_b") + F.col("crossed")) / scale
+    # One model empty: it is uniform over the other's terms.
+    wl, ls = F.col("wl_a") + F.col("wl_b"), F.col("ls_a") + F.col("ls_b")
+    lone = (wl + ls * smooth) / scale - ls / terms
+    divergence = F.when(terms == 0, F.lit(None)).when((F.col("n_a") == 0) | (F.col("n_b") == 0), lone).otherwise(usual)
+    similarity = F.when(divergence.isNull(), 0.0).otherwise(F.exp(-0.5 * F.greatest(divergence, F.lit(0.0))))
+    return pairs.select(*keys, place(similarity).alias("sim"))
 
 
 def pair_similarities(items: DataFrame, group: list[str], vectorizer: str, similarity: str, **options) -> DataFrame:
