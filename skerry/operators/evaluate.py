@@ -11,12 +11,16 @@ from .index import Index, query_terms
 from .tables import by_score, ranked, settle
 
 
-def average_precision(run: DataFrame, qrels: DataFrame, k: int = 1000, extra: list[str] | None = None) -> DataFrame:
+def average_precision(
+    run: DataFrame, qrels: DataFrame, k: int = 1000, extra: list[str] | None = None, totals: DataFrame | None = None
+) -> DataFrame:
     """``(*extra, topic_id, ap)`` for every topic of ``qrels``.
 
     The divisor counts all relevant documents, also those beyond ``k``; a
     topic without relevant documents, or absent from the run, has 0. ``extra``
     columns of the run (a parameter setting) are evaluated side by side.
+    Where judgments are too many to list, ``qrels`` may hold those of the run
+    alone, and ``totals`` ``(topic_id, relevant)`` all topics with the divisor.
     """
     extra = extra or []
     good = qrels.where(F.col("rel") > 0).select("topic_id", "doc_id").distinct()
@@ -26,7 +30,7 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int = 1000, extra: li
     found = hits.withColumn("precision", so_far / F.col("rank")).groupBy(*extra, "topic_id").agg(
         F.sum("precision").alias("total")
     )
-    topics = qrels.select("topic_id").distinct().join(total, "topic_id", "left")
+    topics = qrels.select("topic_id").distinct().join(total, "topic_id", "left") if totals is None else totals
     if extra:
         # A handful of settings times the topics.
         topics = topics.crossJoin(F.broadcast(run.select(*extra).distinct()))
@@ -34,9 +38,11 @@ def average_precision(run: DataFrame, qrels: DataFrame, k: int = 1000, extra: li
     return topics.join(found, [*extra, "topic_id"], "left").select(*extra, "topic_id", place(ap).alias("ap"))
 
 
-def mean_average_precision(run: DataFrame, qrels: DataFrame, k: int = 1000, extra: list[str] | None = None) -> DataFrame:
-    """``(*extra, map)`` over the topics of ``qrels``."""
-    per = average_precision(run, qrels, k, extra)
+def mean_average_precision(
+    run: DataFrame, qrels: DataFrame, k: int = 1000, extra: list[str] | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """``(*extra, map)`` over the topics of ``qrels``, or of ``totals``."""
+    per = average_precision(run, qrels, k, extra, totals)
     mean = place(F.coalesce(F.avg("ap"), F.lit(0.0))).alias("map")
     return per.groupBy(*extra).agg(mean) if extra else per.agg(mean)
 

@@ -40,6 +40,31 @@ def synonym_table(spark: SparkSession, overrides: Mapping[str, object] | None =
     return spark.createDataFrame(synonym_rows(overrides), "term string, pos int, synonym string")
 
 
+def lexicon_synonyms(
+    nouns: DataFrame, lexicon: DataFrame, *, senses: int = 3, lemmas: int = 3
+) -> DataFrame:
+    """A synonym table ``(term, pos, synonym)`` from a noun lexicon.
+
+    ``nouns`` is ``(term)``, the terms that a tagger found to be nouns;
+    ``lexicon`` is ``(term, sense, lemma_no, lemma)``, the noun senses of a
+    term by frequency and their lemmas in order. Of the first ``senses`` senses
+    a term gets at most ``lemmas`` different one-word lemmas other than itself.
+    """
+    wanted = nouns.select(F.lower(F.trim("term")).alias("term")).distinct()
+    plain = lexicon.select(F.lower("term").alias("term"), "sense", "lemma_no", F.lower(F.trim("lemma")).alias("synonym"))
+    near = ranked_senses(plain.join(wanted, "term", "left_semi"), senses)
+    usable = near.where((F.col("synonym") != F.col("term")) & (F.col("synonym") != "") & ~F.col("synonym").rlike(r"[\s_]"))
+    first = ranked(usable, ["term", "synonym"], [F.col("sense"), F.col("lemma_no")], "n", 1)
+    placed = ranked(first, ["term"], [F.col("sense"), F.col("lemma_no")], "n", lemmas)
+    return placed.select("term", (F.col("n") - 1).alias("pos"), "synonym")
+
+
+def ranked_senses(rows: DataFrame, senses: int) -> DataFrame:
+    """Rows of each term's first ``senses`` senses."""
+    order = Window.partitionBy("term").orderBy("sense")
+    return rows.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= senses).drop("n")
+
+
 def expand_terms(
     topics: DataFrame, synonyms: DataFrame | None, *, enabled: bool = True, max_terms: int = 5
 ) -> DataFrame:

@@ -32,7 +32,7 @@ from ..operators import index as ix
 
 from ..operators.tables import settle, spread
 from ..sources import files
-from . import oracles, retrieval
+from . import oracles, retrieval, sweep
 
 #: Depths of the queries; small, so that the oracle can follow.
 CANDIDATES = 20
@@ -609,6 +609,36 @@ def two_stage_blend(t):
     return retrieval.two_stage(t.dense_queries, t.vectors, t.docs, config)
 
 
+@query
+def dense_grid_map(t):
+    """Sweep of the dense plan; vectors of a query's label are relevant to it.
+
+    Judgments are looked up for the candidates only: a label may hold a large
+    share of all vectors, so its pairs are counted, not listed.
+    """
+    runs = settle(
+        sweep.dense_runs(
+            t.dense_queries, t.vectors, t.docs, metrics=["cosine", "l2"], depths=[20, 60], reranks=[False, True],
+            topns=[10], alphas=[0.3, 1.0], topk=20,
+        )
+    )
+    label = t.read("embeddings").select("vec_id", "label")
+    asked = t.dense_queries.select(F.col("id").alias("vec_id")).join(label, "vec_id")
+    counts = label.groupBy("label").agg(F.count("*").alias("relevant"))
+    totals = asked.join(counts, "label").select(F.col("vec_id").alias("topic_id"), "relevant")
+    own = asked.select(F.col("vec_id").alias("topic_id"), F.col("label").alias("wanted"))
+    found = runs.select("topic_id", "doc_id").distinct().join(own, "topic_id")
+    found = found.join(label.withColumnRenamed("vec_id", "doc_id"), "doc_id").where("label = wanted")
+    qrels = found.select("topic_id", "doc_id", F.lit(1).alias("rel"))
+    return evaluate.mean_average_precision(runs, qrels, 20, list(sweep.SETTINGS), totals)
+
+
+@query
+def ltr_cross_validation(t):
+    """Swapped preferences of cluster models on topics they haven't seen."""
+    return sweep.cross_validate(settle(t.instances), FEATURE_NAMES, 2)
+
+
 @query
 def dense_lsh(t):
     return dense.lsh_topk(t.vectors, t.dense_queries.select("id", "embedding"), 10)

@@ -278,6 +278,21 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
       SELECT d.*, list_distinct(regexp_extract_all(lower(qtext), {W})) AS qs, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {W})) AS ts FROM (
         SELECT query_id, vec_id, qtext, round(list_cosine_similarity(q, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM dq, dv QUALIFY rank <= 50) d
       LEFT JOIN documents ON doc_id = vec_id))) QUALIFY rank <= 20""",
+    "dense_grid_map": f"""SELECT depth, metric, rerank, rerank_topn, alpha, round(avg(ap), 6) AS map FROM (
+  SELECT depth, metric, rerank, rerank_topn, alpha, query_id, round(coalesce(sum(CASE WHEN hit THEN so_far / CAST(r AS DOUBLE) END), 0) / any_value(relevant), 6) AS ap FROM (
+    SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY depth, metric, rerank, rerank_topn, alpha, query_id ORDER BY r) AS so_far FROM (
+      SELECT x.*, d.label = q.label AS hit, (SELECT count(*) FROM embeddings e WHERE e.label = q.label) AS relevant FROM (
+        SELECT *, row_number() OVER (PARTITION BY depth, metric, rerank, rerank_topn, alpha, query_id ORDER BY score DESC, vec_id) AS r FROM (
+          SELECT *, round(CASE WHEN rerank AND rank <= rerank_topn THEN alpha * ce + (1e0 - alpha) * dense ELSE dense END + 1e-9, 6) AS score FROM (
+            SELECT b.metric, b.query_id, b.vec_id, dense, rank, CASE WHEN len(qs) = 0 THEN 0e0 ELSE len(list_intersect(qs, ts)) / CAST(len(qs) AS DOUBLE) END AS ce FROM (
+              SELECT d.*, list_distinct(regexp_extract_all(lower(qtext), {W})) AS qs, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {W})) AS ts FROM (
+                SELECT *, row_number() OVER (PARTITION BY metric, query_id ORDER BY dense DESC, vec_id) AS rank FROM (
+                  SELECT metric, query_id, vec_id, qtext, round(CASE metric WHEN 'cosine' THEN list_cosine_similarity(q, v) ELSE -list_distance(q, v) END, 6) AS dense FROM dq, dv, (SELECT unnest(['cosine', 'l2']) AS metric)) QUALIFY rank <= 60) d
+              LEFT JOIN documents ON doc_id = vec_id) b),
+            (SELECT unnest([20, 60]) AS depth), (SELECT unnest([false, true]) AS rerank), (SELECT 10 AS rerank_topn), (SELECT CAST(unnest([0.3, 1.0]) AS DOUBLE) AS alpha)
+          WHERE rank <= depth) QUALIFY r <= 20) x
+      JOIN embeddings d USING (vec_id) JOIN embeddings q ON q.vec_id = query_id))
+  GROUP BY ALL) GROUP BY ALL""",
     "corpus_jsonl": r"""SELECT doc_id, sha256('{"docid":"' || doc_id || '","text":' || to_json(coalesce(text, '')) || '}') AS sha256 FROM documents""",
     "config_hash": "SELECT doc_id, p_idx, substr(sha256(doc_id || '|' || p_idx || '|' || content), 1, 20) AS key FROM psg",
     "passage_fingerprint": "SELECT doc_id, substr(sha256(string_agg(doc_id || chr(0) || p_idx || chr(0) || content, chr(10) ORDER BY p_idx)), 1, 20) AS fingerprint FROM psg GROUP BY doc_id",
