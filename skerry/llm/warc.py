@@ -216,9 +216,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Returns page_id, payload_bytes and payload_digest (of the full payload;
     a revisit has those of its response), record_type and refers_to.
     """
-    common.bound_batches(spark, 1)  # a row is a whole file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    records = common.cut(files.mapInArrow(_parse_batches, HEADERS))
+    with common.batches_of(spark, 1):  # a row is a whole file
+        records = common.cut(files.mapInArrow(_parse_batches, HEADERS))
     responses = records.where("record_type = 'response'")
     # Only responses that a revisit names are needed to resolve revisits.
     known = (
