@@ -102,8 +102,10 @@ def mine(
     """Rules from rows ``(key, tokens, verdict or null)`` by FP-growth.
 
     The model is fitted on about ``max_rows`` rows at most, drawn by a hash of
-    their key; of each row the first ``max_tokens`` tokens are used. Both bounds concern learning only: every URL is matched with all
-    its tokens. The number of rules is bounded by the support: a rule needs
+    their key (which should differ between rows of one URL, or a hot URL is
+    drawn as a whole or not at all); of each row the first ``max_tokens``
+    tokens are used. Both bounds concern learning only: every URL is matched
+    with all its tokens. The number of rules is bounded by the support: a rule needs
     ``min_support`` of the drawn rows.
     """
     n = rows.count()
@@ -163,6 +165,7 @@ def filter_urls(
     pages: DataFrame,
     *,
     url: str = "url",
+    page_id: str | None = "page_id",
     listed=LISTED,
     carry: list[str] | None = None,
     default: str = DEFAULT,
@@ -172,7 +175,8 @@ def filter_urls(
 
     Adds ``host``, ``path``, ``rule`` (listed rule or null), ``verdict``,
     ``mined_rule`` and ``confidence`` (null where a listed rule or the default
-    decides) to the columns ``carry`` (all, if None).
+    decides) to the columns ``carry`` (all, if None). Rows to learn from are
+    drawn by ``page_id`` and URL.
 
     Defined cases: a null URL or one without ``://`` has an empty host and
     path, so no listed rule fits; if no row is labelled, or nothing passes the
@@ -180,12 +184,13 @@ def filter_urls(
     input columns named like an output column are left out.
     """
     keep = common.carried(pages, carry, MADE)
-    staged = pages.select(*keep, F.col(url).alias("__url"))
+    drawn_by = F.xxhash64(*([page_id] if page_id else []), url)
+    staged = pages.select(*keep, F.col(url).alias("__url"), drawn_by.alias("__draw"))
     staged = staged.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     staged = staged.withColumn("__hit", listed_rule(F.col("host"), F.col("path"), listed))
     staged = staged.withColumn("__tokens", tokens(F.col("__url"), F.col("host"), F.col("path")))
     rows = staged.select(
-        F.col("__tokens").alias("tokens"), F.col("__hit.verdict").alias("verdict"), F.col("__url").alias("key")
+        F.col("__tokens").alias("tokens"), F.col("__hit.verdict").alias("verdict"), F.col("__draw").alias("key")
     )
     rules = pages.sparkSession.sparkContext.broadcast(mine(rows, **mining))
 
