@@ -271,8 +271,8 @@ def train(
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(
         F.broadcast(common.cut(drawn)), F.col("__id") == F.col("__of")
     )
-    # Repeated rows of an id add nothing that the sample's bound doesn't allow.
-    rows = rows.dropDuplicates(["__id"])
+    # Of repeated ids the text with the smallest hash, so the fit is the same in every run.
+    rows = rows.groupBy("__id").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"), F.first("__y").alias("__y"))
     found = with_features(rows, text="__t", keep=["__id", "__y"]).collect()
     found.sort(key=lambda r: r[0])
     return fit([r["__x"] for r in found], [r["__y"] for r in found], **params)
