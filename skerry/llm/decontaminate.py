@@ -128,7 +128,7 @@ def decontaminate(
     item_text: str = "text",
     window: int = 10,
     carry: list[str] | None = None,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Mark the words of ``docs`` that lie in windows of ``benchmark`` items.
 
@@ -138,7 +138,8 @@ def decontaminate(
     None). The benchmark is read in blocks of at most ``block_bytes``; each
     block is broadcast and searched in one pass over the documents, and the
     passes are chained in one stage, so no shuffle takes place and memory
-    doesn't grow with the benchmark.
+    doesn't grow with the benchmark (the tables of a pass take about 200 times
+    the bytes of its block).
 
     Defined cases: a null text has no words; an item without words has no
     windows; a null item id counts as the empty string; an item id that occurs
