@@ -14,6 +14,36 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of the distinct tokens, by term.
+
+    Tokens are sorted and runs of equal ones measured, so a text is counted
+    inside its row, in n log n steps and without a shuffle.
+    """
+
+    def runs(words: Column) -> Column:
+        def changes(i: Column) -> Column:
+            return ~F.get(words, i).eqNullSafe(F.get(words, i - 1))
+
+        def sizes(starts: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(words))
+                return F.struct(F.get(words, start).alias("term"), (end - start).cast("long").alias("tf"))
+
+            return F.transform(starts, run)
+
+        # The last place of the sequence lies behind the words, so an empty text has one, too.
+        places = F.slice(F.sequence(F.lit(0), F.size(words)), F.lit(1), F.size(words))
+        return bound(F.filter(places, changes), sizes)
+
+    return bound(F.sort_array(tokens), runs)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_token(token: Column) -> Column:
     return F.lower(F.trim(token))
 

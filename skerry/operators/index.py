@@ -13,39 +13,41 @@ from .tables import settle
 
 @dataclass(frozen=True)
 class Index:
-    """``tokens(doc_id, term, dl)`` one row per occurrence, ``lengths(doc_id,
-    dl)`` one per document (also empty ones), ``stats(n_docs, n_tokens, avgdl)``."""
+    """``rows(doc_id, dl, counts)`` one row per document (also empty ones) with
+    its ``counts`` as ``array<struct<term, tf>>``, ``stats(n_docs, n_tokens,
+    avgdl)``."""
 
-    tokens: DataFrame
-    lengths: DataFrame
+    rows: DataFrame
     stats: DataFrame
 
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """``(doc_id, term, tf, dl)``, of the given terms only if there are any.
+    @property
+    def lengths(self) -> DataFrame:
+        """``(doc_id, dl)`` of every document."""
+        return self.rows.select("doc_id", "dl")
 
-        Terms are filtered before the occurrences are counted, so only the
-        postings that a query set needs are shuffled.
-        """
-        tokens = self.tokens if terms is None else self.tokens.join(terms, "term", "left_semi")
-        return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    def postings(self, terms: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+        """``(doc_id, term, tf, dl)``, of the given terms and documents only if
+        there are any. Needs no shuffle: documents come counted."""
+        rows = self.rows if docs is None else self.rows.join(docs, "doc_id", "left_semi")
+        found = rows.select("doc_id", "dl", F.inline("counts")).select("doc_id", "term", "tf", "dl")
+        return found if terms is None else found.join(terms, "term", "left_semi")
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Tokenise ``docs`` once into a forward index in the shared folder.
+    """Tokenise and count ``docs`` once into a forward index in the shared folder.
 
     Lengths and statistics then read one narrow column of it, and queries its
-    tokens; without it every branch of a plan would tokenise the corpus again.
+    counts; without it every branch of a plan would tokenise the corpus again.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), fx.tokenize(F.col(text)).alias("words"))
-    sized = settle(words.withColumn("dl", F.size("words")))
-    tokens = sized.select("doc_id", "dl", F.explode("words").alias("term"))
-    lengths = sized.select("doc_id", "dl")
-    stats = lengths.agg(
+    counted = words.select("doc_id", F.size("words").alias("dl"), fx.term_counts(F.col("words")).alias("counts"))
+    rows = settle(counted)
+    stats = rows.agg(
         F.count("*").alias("n_docs"),
         F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"),
         F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"),
     )
-    return Index(tokens, lengths, stats)
+    return Index(rows, stats)
 
 
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,8 +63,7 @@ def document_frequency(index: Index, terms: DataFrame | None = None) -> DataFram
 def background(index: Index, terms: DataFrame | None = None) -> DataFrame:
     """``(term, cf, p)``: share of all tokens, of the given terms only if there
     are any. The total is one row, so it is broadcast."""
-    tokens = index.tokens if terms is None else index.tokens.join(terms, "term", "left_semi")
-    counted = tokens.groupBy("term").agg(F.count("*").alias("cf"))
+    counted = index.postings(terms).groupBy("term").agg(F.sum("tf").alias("cf"))
     total = index.stats.select("n_tokens")
     return counted.crossJoin(F.broadcast(total)).select("term", "cf", (F.col("cf") / F.col("n_tokens")).alias("p"))
 
@@ -73,16 +74,6 @@ def query_terms(topics: DataFrame) -> DataFrame:
     return terms.groupBy("topic_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def with_df(postings: DataFrame) -> DataFrame:
-    """Postings with the document frequency of their term.
-
-    Counted and joined rather than windowed, so a term that occurs in a third
-    of all documents isn't sorted in one task.
-    """
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return postings.join(df, "term")
-
-
 def vocabulary(postings: DataFrame, n_docs: int, min_df: int, max_df: float, top: int | None) -> DataFrame:
     """Terms with min_df <= df <= floor(max_df * n_docs), the ``top`` by (df desc, term)."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import place
-from .index import Index, background, with_df
+from .index import Index, background, document_frequency
 from .tables import by_score, ranked, settle
 
 UNSEEN = 1e-12
@@ -43,13 +43,14 @@ def bm25_part(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1:
 def matches(terms: DataFrame, index: Index) -> DataFrame:
     """Query terms joined to their postings, with df and collection statistics.
 
-    ``terms`` should be a settled table: Spark broadcasts it by its size, so
-    the tokens are filtered in the scan's stage, and the only large shuffle is
-    that of matching postings.
+    ``terms`` should be a settled table. Their document frequencies are settled
+    with them, so Spark broadcasts both by their exact size and the postings
+    are filtered in the scan's stage; nothing larger than the sums per topic
+    and document is shuffled.
     """
     wanted = terms.select("term").distinct()
-    postings = with_df(index.postings(wanted))
-    return postings.join(terms, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
+    known = settle(terms.join(document_frequency(index, wanted), "term"))
+    return index.postings().join(known, "term").crossJoin(F.broadcast(index.stats))  # stats: one row
 
 
 def bm25_scores(terms: DataFrame, index: Index, k1: float = 0.9, b: float = 0.4) -> DataFrame:
@@ -129,10 +130,8 @@ def rm3_terms(
     feedback = ranked(first_pass, ["topic_id"], by_score("doc_id"), top=fb_docs)
     feedback = settle(feedback.select("topic_id", "doc_id", "score"))
     docs = feedback.select("doc_id").distinct()
-    tokens = index.tokens.join(docs, "doc_id", "left_semi")
-    tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     model = (
-        tf.join(feedback, "doc_id")
+        index.postings(docs=docs).join(feedback, "doc_id")
         .groupBy("topic_id", "term")
         .agg(place(F.sum(F.col("score") * F.col("tf") / F.col("dl"))).alias("score"))
     )
