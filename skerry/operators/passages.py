@@ -41,6 +41,53 @@ def best_overlap(passages: DataFrame, topics: DataFrame, k: int) -> DataFrame:
     return ranked(counted, ["topic_id", "doc_id"], [F.desc("overlap"), F.col("p_idx")], "n", k).drop("n", "wanted")
 
 
+MODELS = {
+    "bm25": "bm25",
+    "qld": "qld",
+    "ql": "qld",
+    "dirichlet": "qld",
+    "bm25+qld": "bm25+qld",
+    "bm25+rm3": "bm25+rm3",
+    "bm25_rm3": "bm25+rm3",
+    "rm3": "bm25+rm3",
+}
+
+#: Feedback of the passage model: terms, passages, weight of the original query.
+RM3 = {"fb_terms": 50, "fb_docs": 10, "original_weight": 0.2}
+
+
+def unit_terms(topics: DataFrame) -> DataFrame:
+    """``(topic_id, term, weight)`` with weights that sum to one per topic."""
+    terms = settle(query_terms(topics))
+    length = terms.groupBy("topic_id").agg(F.sum("weight").alias("length"))
+    unit = terms.join(length, "topic_id").select("topic_id", "term", (F.col("weight") / F.col("length")).alias("weight"))
+    return settle(unit)
+
+
+def feedback_terms(
+    first: DataFrame, original: DataFrame, by: list[str], fb_terms: int, fb_docs: int, original_weight: float
+) -> DataFrame:
+    """Expanded query ``(*by, term, weight)`` of every group of ``first``, a
+    ranking with ``content``, ``score`` and ``p_rank``.
+
+    The terms of the best ``fb_docs`` passages are weighted by
+    ``score * tf / length``; the best ``fb_terms`` are normalised and mixed
+    with ``original``, whose weights sum to one.
+    """
+    scoring.check_rm3(fb_terms, fb_docs, original_weight)
+    words = first.where(F.col("p_rank") <= fb_docs).select(*by, "score", fx.tokenize(F.col("content")).alias("words"))
+    counted = words.select(*by, "score", F.size("words").alias("dl"), F.inline(fx.term_counts(F.col("words"))))
+    share = F.sum(F.col("score") * F.col("tf") / F.col("dl"))
+    model = counted.groupBy(*by, "term").agg(place(share).alias("score"))
+    best = settle(ranked(model, by, by_score("term"), top=fb_terms))
+    total = best.groupBy(*by).agg(F.sum("score").alias("total")).where("total > 0")
+    extra = best.join(total, by).select(*by, "term", (F.col("score") / F.col("total")).alias("e"))
+    asked = first.select(*by).distinct().join(original.withColumnRenamed("weight", "o"), "topic_id")
+    mixed = F.coalesce("o", F.lit(0.0)) * original_weight + F.coalesce("e", F.lit(0.0)) * (1.0 - original_weight)
+    both = asked.join(extra, [*by, "term"], "full_outer")
+    return both.select(*by, "term", mixed.alias("weight")).where("weight > 0")
+
+
 def rank_passages(
     passages: DataFrame,
     topics: DataFrame,
@@ -53,6 +100,8 @@ def rank_passages(
     b: float = 0.4,
     mu: float = 1000.0,
     alpha: float = 0.5,
+    rm3: dict | None = None,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Best passages per statistics group, with ``score`` and ``p_rank``.
 
@@ -60,21 +109,34 @@ def rank_passages(
     ``stats_by`` (the topic; or topic and document, to rank a document's own
     passages), taken over its scored passages only. ``matching_only`` leaves
     out passages without a query term, as an index engine does.
+
+    ``bm25+rm3`` ranks twice: the best passages of each group expand its query
+    (options ``rm3``, see :func:`feedback_terms`). ``terms`` are weighted query
+    terms per group, in place of the topics' own.
     """
-    if model not in ("bm25", "qld", "bm25+qld"):
+    kind = MODELS.get(model.lower())
+    if kind is None:
         raise ValueError(f"unknown passage model {model!r}")
     scoring.check_bm25(k1, b)
     scoring.check_mu(mu)
     by = stats_by or ["topic_id"]
     key = ["topic_id", "doc_id", "p_idx"]
+    if kind == "bm25+rm3":
+        feedback = {**RM3, **(rm3 or {})}
+        original = unit_terms(topics)
+        again = {"stats_by": by, "matching_only": matching_only, "k1": k1, "b": b}
+        first = rank_passages(passages, topics, topk=feedback["fb_docs"], terms=original, **again)
+        expanded = settle(feedback_terms(first, original, by, **feedback))
+        return rank_passages(passages, topics, topk=topk, terms=expanded, **again)
     words = passages.withColumn("words", fx.tokenize(F.col("content"))).withColumn("dl", F.size("words"))
-    terms = settle(query_terms(topics))
+    terms = settle(query_terms(topics)) if terms is None else terms
+    on = [c for c in terms.columns if c in key]
     stats = words.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total")
     )
     hits = (
         words.select(*key, "dl", F.explode("words").alias("term"))
-        .join(terms, ["topic_id", "term"])
+        .join(terms, [*on, "term"])
         .groupBy(*key, "term", "weight", "dl")
         .agg(F.count("*").alias("tf"))
     )
@@ -88,7 +150,7 @@ def rank_passages(
     gain = F.sum(F.col("weight") * F.ln(1.0 + F.col("tf") / (mu * p)))
     summed = parts.groupBy(*key).agg(lexical.alias("bm25"), gain.alias("gain"))
     # Terms that no passage of the group holds still lower the likelihood.
-    groups = stats.select(*by, "total").join(terms, "topic_id")
+    groups = stats.select(*by, "total").join(terms, on)
     seen = groups.join(frequency.select(*by, "term", "cf"), [*by, "term"], "left")
     floor = F.when(F.coalesce("cf", F.lit(0)) > 0, p).otherwise(F.lit(scoring.UNSEEN))
     rest = seen.groupBy(*by).agg(
@@ -99,7 +161,7 @@ def rank_passages(
     qld = F.when(F.col("dl") <= 0, 0.0).otherwise(
         F.coalesce("gain", F.lit(0.0)) + F.col("rest") - F.col("weights") * F.ln(F.col("dl") + mu)
     )
-    score = {"bm25": bm25, "qld": qld, "bm25+qld": bm25 * alpha + qld * (1.0 - alpha)}[model]
+    score = {"bm25": bm25, "qld": qld, "bm25+qld": bm25 * alpha + qld * (1.0 - alpha)}[kind]
     out = scored.withColumn("score", place(F.coalesce(score, F.lit(0.0)))).drop(
         "bm25", "gain", "rest", "weights", "dl"
     )

@@ -352,6 +352,12 @@ def passage_bm25(t):
     return t.best.select("topic_id", "doc_id", "p_idx", "score", "p_rank")
 
 
+@query
+def passage_rm3(t):
+    found = passages.rank_passages(t.topic_passages, t.topics, model="bm25+rm3", topk=PASSAGES)
+    return found.select("topic_id", "doc_id", "p_idx", "score", "p_rank")
+
+
 @query
 def passage_qld(t):
     found = passages.rank_passages(t.topic_passages, t.topics, model="qld", topk=PASSAGES, matching_only=False)

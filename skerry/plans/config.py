@@ -32,7 +32,10 @@ class ClusterConfig:
     window: int = 10
     least: int = 3
     overlap: int = 2
-    passage_model: str = "bm25"
+    passage_model: str = "bm25+rm3"
+    passage_rm3: dict = field(default_factory=lambda: {"fb_terms": 50, "fb_docs": 10, "original_weight": 0.2})
+    #: Passages per document that go into the ranking, by overlap with the query; all, if None.
+    per_doc: int | None = None
     passage_k1: float = 0.9
     passage_b: float = 0.4
     passages: int = 200

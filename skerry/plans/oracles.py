@@ -79,6 +79,15 @@ CTES = {
     "rmn": "SELECT topic_id, term, p / sum(p) OVER (PARTITION BY topic_id) AS e FROM rm",
     "q2": "SELECT coalesce(o.topic_id, e.topic_id) AS topic_id, coalesce(o.term, e.term) AS term, 0.5e0 * coalesce(o.weight, 0) + 0.5e0 * coalesce(e.e, 0) AS weight FROM q1 o FULL JOIN rmn e ON o.topic_id = e.topic_id AND o.term = e.term",
     "b2": "SELECT topic_id, doc_id, round(sum(weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM q2 JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL",
+    # Feedback of passages, with statistics per topic.
+    "pbm1": "SELECT topic_id, doc_id, p_idx, round(sum(q1.weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM ph JOIN q1 USING (topic_id, term) JOIN pdf USING (topic_id, term) JOIN ps USING (topic_id) GROUP BY topic_id, doc_id, p_idx",
+    "pfb": "SELECT topic_id, doc_id, p_idx, score FROM pbm1 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) <= 10",
+    "ptok": "SELECT topic_id, doc_id, p_idx, term, dl, count(*) AS tf FROM (SELECT topic_id, doc_id, p_idx, len(words) AS dl, unnest(words) AS term FROM pw) GROUP BY ALL",
+    "prm": "SELECT topic_id, term, p FROM (SELECT topic_id, term, round(sum(score * tf / dl), 6) AS p FROM pfb JOIN ptok USING (topic_id, doc_id, p_idx) GROUP BY topic_id, term) QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY p DESC, term) <= 50",
+    "prmn": "SELECT topic_id, term, p / sum(p) OVER (PARTITION BY topic_id) AS e FROM prm",
+    "pq2": "SELECT coalesce(o.topic_id, e.topic_id) AS topic_id, coalesce(o.term, e.term) AS term, 0.2e0 * coalesce(o.weight, 0) + 0.8e0 * coalesce(e.e, 0) AS weight FROM q1 o FULL JOIN prmn e ON o.topic_id = e.topic_id AND o.term = e.term",
+    "pdf2": "SELECT topic_id, term, count(*) AS df FROM ptok GROUP BY ALL",
+    "pb2": "SELECT topic_id, doc_id, p_idx, round(sum(weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM ptok JOIN pq2 USING (topic_id, term) JOIN pdf2 USING (topic_id, term) JOIN ps USING (topic_id) GROUP BY topic_id, doc_id, p_idx",
     # Dense.
     "dq": f"SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, array_to_string(list_slice(regexp_extract_all(lower(coalesce(text, '')), {W}), 1, 4), ' ') AS qtext FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0",
     "dv": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
@@ -224,6 +233,7 @@ _PLAIN = {
     "per_doc_first_k": "SELECT topic_id, doc_id, p_idx FROM tp QUALIFY row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY p_idx) <= 2",
     "per_doc_overlap": "SELECT topic_id, doc_id, p_idx, CAST(len(list_filter(words, lambda w: list_contains(qs, w))) AS INTEGER) AS overlap FROM pw JOIN (SELECT topic_id, list(term) AS qs FROM qt GROUP BY ALL) USING (topic_id) QUALIFY row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY overlap DESC, p_idx) <= 2",
     "passage_bm25": "SELECT topic_id, doc_id, p_idx, score, CAST(p_rank AS INTEGER) AS p_rank FROM best",
+    "passage_rm3": "SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM pb2 QUALIFY p_rank <= 30",
     "passage_qld": """SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM (
   SELECT pw.topic_id, pw.doc_id, pw.p_idx, round(CASE WHEN len(any_value(words)) = 0 THEN 0e0 ELSE sum(qt.weight * ln((coalesce(tf, 0) + 1000e0 * CASE WHEN coalesce(cf, 0) > 0 THEN cf / total ELSE 1e-12 END) / (len(words) + 1000e0))) END, 6) AS score
   FROM pw JOIN qt USING (topic_id) JOIN ps USING (topic_id) LEFT JOIN pdf ON pdf.topic_id = pw.topic_id AND pdf.term = qt.term

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from skerry import cli
-from skerry.operators import dense, evaluate, expand, vectorize
+from skerry.operators import dense, evaluate, expand, passages, vectorize
 from skerry.plans import sweep
 
 
@@ -131,3 +131,20 @@ def test_command_line(spark, tmp_path, capsys):
         with pytest.raises(SystemExit):
             cli.main(bad)
     assert cli.flag("Yes") and not cli.flag("off")
+
+
+def test_passage_feedback(spark):
+    texts = {("d1", 0): "cat purr purr", ("d1", 1): "cat purr", ("d2", 0): "purr milk", ("d3", 0): "dog bark"}
+    rows = spark.createDataFrame([(1, d, p, 1, c) for (d, p), c in texts.items()], "topic_id int, doc_id string, p_idx int, doc_rank int, content string")
+    topics = spark.createDataFrame([(1, "cat"), (2, "")], "topic_id int, text string")
+    plain = passages.rank_passages(rows, topics, topk=10).collect()
+    assert {(r.doc_id, r.p_idx) for r in plain} == {("d1", 0), ("d1", 1)}
+    options = {"fb_terms": 2, "fb_docs": 2, "original_weight": 0.5}
+    found = passages.rank_passages(rows, topics, model="bm25_rm3", rm3=options, topk=10).collect()
+    assert {(r.doc_id, r.p_idx) for r in found} == {("d1", 0), ("d1", 1), ("d2", 0)}
+    own = passages.rank_passages(rows, topics, model="rm3", rm3=options, stats_by=["topic_id", "doc_id"], topk=1).collect()
+    assert [(r.doc_id, r.p_rank) for r in own] == [("d1", 1)]
+    for bad in ({"fb_terms": 0}, {"original_weight": 1.5}):
+        with pytest.raises(ValueError):
+            passages.rank_passages(rows, topics, model="rm3", rm3=bad)
+    assert passages.rank_passages(rows.where("false"), topics, model="rm3").count() == 0
