@@ -296,7 +296,12 @@ def near_duplicates(
 def _resolved(prints: DataFrame, max_bits: int) -> DataFrame:
     """``prints`` with ``__first``: the smallest ``__id`` of each row's component."""
     nodes = common.cut(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("first")))
-    roots = components(links(nodes, max_bits))
+    return resolve(prints, nodes, links(nodes, max_bits))
+
+
+def resolve(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` with ``__first``, by the ``edges`` between ``nodes (fp, first)``."""
+    roots = components(edges)
     rooted = common.cut(
         nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
@@ -318,12 +323,21 @@ def keep_first(
     among rows of that id the one whose text has the smallest hash; of
     repeated rows one.
     """
-    spark = docs.sparkSession
+    keys = ranked(docs, text=text, doc_id=doc_id)
+    prints = common.cut(with_fingerprints(keys, text=text, keep=["__id"], shingle=shingle))
+    return first_rows(docs, _resolved(prints, max_bits), text=text, doc_id=doc_id)
+
+
+def ranked(docs: DataFrame, *, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with ``__id``, by which ``keep_first`` chooses."""
     keys = docs.withColumns({"__row": F.xxhash64(text), "__doc": F.col(doc_id)})
     rank = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("id"), F.col("__row").alias("hash"))
-    keys = keys.withColumn("__id", rank)
-    prints = common.cut(with_fingerprints(keys, text=text, keep=["__id"], shingle=shingle))
-    found = _resolved(prints, max_bits).where(F.col("__id") == F.col("__first")).groupBy("__id").agg(F.count("*").alias("n"))
+    return keys.withColumn("__id", rank)
+
+
+def first_rows(docs: DataFrame, resolved: DataFrame, *, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` whose ``__id`` is the ``__first`` of its component."""
+    found = resolved.where(F.col("__id") == F.col("__first")).groupBy("__id").agg(F.count("*").alias("n"))
     found = common.cut(found.select(F.col("__id.id").alias("__want"), F.col("__id.hash").alias("__hash"), "n"))
     kept = docs.withColumn("__row", F.xxhash64(text)).join(
         found,

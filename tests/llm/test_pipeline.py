@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from skerry.llm import mixing, quality
+from skerry.llm import mixing, neardup, quality
 
 WORDS = "the of and ver dan la il to a be sun sea".split()
 
@@ -40,3 +43,35 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, folder).collect()
     assert len(final) == want and {r.doc_id for r in final} <= set(good)
     assert len(quality.FEATURES) == len(quality.features(b""))
+
+
+@pytest.mark.parametrize("bucket", [neardup.BUCKET, 3])
+def test_near_copies(spark, bucket, monkeypatch):
+    """Planted near copies against all pairs, also through crowded buckets."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    rng = random.Random(2)
+    bases = [[rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)] for n in (40, 60, 100, 200, 300)]
+    rows = [" ".join(b) for b in bases] + ["", " ", None, "one two", "ONE two"]
+    for _ in range(150):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(words[rng.randrange(4) :]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+    sets, first = [shingles(t) for t in rows], list(range(len(rows)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                pairs += a != sets[j]
+                x, y = first[i], first[j]
+                first = [min(x, y) if f in (x, y) else f for f in first]
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == sorted(set(first)) and pairs > 400 and len(got) < 120
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where(F.lit(False)), "").count() == 0
