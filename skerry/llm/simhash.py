@@ -70,19 +70,19 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, *, text: str, keep: list[str], shingle: int) -> DataFrame:
-    """``keep`` columns plus ``__fp``, the fingerprint as a signed long."""
+    """``keep`` columns plus ``fp``, the fingerprint as a signed long."""
     common.bound_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*common.fields(source, keep), T.StructField("__fp", T.LongType())])
+    source = docs.select(*keep, text)
+    schema = T.StructType([*common.fields(source, keep), T.StructField("fp", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            prints = [fingerprint(raw, shingle) for raw in common.as_bytes(batch.column("__text"))]
+            prints = [fingerprint(raw, shingle) for raw in common.as_bytes(batch.column(text))]
             signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(signed, pa.int64())], names=[*keep, "__fp"]
+                [*(batch.column(c) for c in keep), pa.array(signed, pa.int64())], names=[*keep, "fp"]
             )
 
     return source.mapInArrow(run, schema)
@@ -281,37 +281,39 @@ def near_duplicates(
     Defined cases: a null text has no words; texts without words have the
     fingerprint zero and link like any other; fewer than ``shingle`` words are
     one shingle; repeated rows each get their own row; a component whose ids
-    are all null has a null id, else null ids don't count; input columns named
-    like an output column are left out.
+    are all null has a null id, else null ids don't count; long texts are
+    hashed as a whole; an empty table gives no rows; input columns named like
+    an output column are left out.
     """
-    keep = common.carried(docs, [doc_id] if carry is None else carry, MADE)
-    prints = common.cut(with_fingerprints(docs.withColumn("__id", F.col(doc_id)), text=text, keep=[*keep, "__id"], shingle=shingle))
+    own = common.Own(docs, [doc_id] if carry is None else carry, MADE)
+    staged = docs.select(*own.staged, common.named(doc_id).alias("id"), common.named(text).alias("text"))
+    prints = common.cut(with_fingerprints(staged, text="text", keep=[*own.names, "id"], shingle=shingle))
     return _resolved(prints, max_bits).select(
-        *keep,
-        F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"),
-        F.col("__first").alias("component_id"),
+        *own.restored,
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("first").alias("component_id"),
     )
 
 
 def _resolved(prints: DataFrame, max_bits: int) -> DataFrame:
-    """``prints`` with ``__first``: the smallest ``__id`` of each row's component."""
-    nodes = common.cut(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("first")))
+    """``prints`` with ``first``: the smallest ``id`` of each row's component."""
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
     return resolve(prints, nodes, links(nodes, max_bits))
 
 
 def resolve(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``prints`` with ``__first``, by the ``edges`` between ``nodes (fp, first)``."""
+    """``prints`` with ``first``, by the ``edges`` between ``nodes (fp, first)``."""
     roots = components(edges)
     rooted = common.cut(
         nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
             "fp", "first", F.coalesce("root", "fp").alias("root")
         )
     )
-    firsts = common.cut(rooted.groupBy("root").agg(F.min("first").alias("__first")))
+    firsts = common.cut(rooted.groupBy("root").agg(F.min("first").alias("first")))
     # A hot fingerprint is split by the adaptive skew join: both sides come
     # from tables and are shuffled for the join alone.
-    named = common.cut(rooted.join(firsts, "root").select(F.col("fp").alias("__of"), "__first"))
-    return prints.join(named, F.col("__fp") == F.col("__of"), "left").drop("__of")
+    named = common.cut(rooted.drop("first").join(firsts, "root").select("fp", "first"))
+    return prints.join(named, "fp", "left")
 
 
 def keep_first(
@@ -321,32 +323,34 @@ def keep_first(
 
     The row with the smallest id stays (a null id only without any other);
     among rows of that id the one whose text has the smallest hash; of
-    repeated rows one.
+    repeated rows one. Columns of any name are handed on.
     """
     keys = ranked(docs, text=text, doc_id=doc_id)
-    prints = common.cut(with_fingerprints(keys, text=text, keep=["__id"], shingle=shingle))
+    prints = common.cut(with_fingerprints(keys, text="text", keep=["id"], shingle=shingle))
     return first_rows(docs, _resolved(prints, max_bits), text=text, doc_id=doc_id)
 
 
+def rank_of(text: str, doc_id: str) -> Column:
+    """What ``keep_first`` chooses by: nulls last, then id, then hash of the text."""
+    key = common.named(doc_id)
+    return F.struct(key.isNull().alias("none"), key.alias("id"), F.xxhash64(common.named(text)).alias("hash"))
+
+
 def ranked(docs: DataFrame, *, text: str, doc_id: str) -> DataFrame:
-    """``docs`` with ``__id``, by which ``keep_first`` chooses."""
-    keys = docs.withColumns({"__row": F.xxhash64(text), "__doc": F.col(doc_id)})
-    rank = F.struct(F.col("__doc").isNull().alias("none"), F.col("__doc").alias("id"), F.col("__row").alias("hash"))
-    return keys.withColumn("__id", rank)
+    """``(text, id)`` of ``docs``, ``id`` being :func:`rank_of`."""
+    return docs.select(common.named(text).alias("text"), rank_of(text, doc_id).alias("id"))
 
 
 def first_rows(docs: DataFrame, resolved: DataFrame, *, text: str, doc_id: str) -> DataFrame:
-    """The rows of ``docs`` whose ``__id`` is the ``__first`` of its component."""
-    found = resolved.where(F.col("__id") == F.col("__first")).groupBy("__id").agg(F.count("*").alias("n"))
-    found = common.cut(found.select(F.col("__id.id").alias("__want"), F.col("__id.hash").alias("__hash"), "n"))
-    kept = docs.withColumn("__row", F.xxhash64(text)).join(
-        found,
-        F.col(doc_id).eqNullSafe(F.col("__want")) & (F.col("__row") == F.col("__hash")),
-        "left_semi",
-    )
+    """The rows of ``docs`` whose rank is the ``first`` of its component."""
+    found = resolved.where(F.col("id") == F.col("first")).groupBy("id").agg(F.count("*").alias("n"))
+    found = common.cut(found)
+    own = common.Own(docs, None, ())
+    rows = docs.select(*own.staged, rank_of(text, doc_id).alias("id"))
+    kept = rows.join(found.select("id"), "id", "left_semi")
     if found.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, "__row"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id"])
+    return kept.select(*own.restored)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
