@@ -21,6 +21,37 @@ from . import common
 
 MADE = ("n_email", "n_ip", "n_card", "n_phone", "found")
 
+# The length of an IBAN by country, as registered under ISO 13616.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS",
+    23: "AE GI IL TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT",
+    26: "IS TR",
+    27: "FR GR IT MC MR SM",
+    28: "AL AZ CY DO GT HU LB PL",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+}
+
+
+def _iban_pattern() -> str:
+    """Country, check digits and exactly as much account as the country has."""
+    forms = (
+        f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}"
+        for length, countries in IBAN_LENGTHS.items()
+    )
+    return f"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 #: kind -> (Java pattern, text that must occur for a match or None), in output order.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; \G: right after a match.
@@ -38,7 +69,7 @@ PATTERNS = {
     # \+[0-9][ ().0-9-]+[0-9]
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
     # Added by this method: country, check digits and account of an IBAN.
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None),
+    "iban": (_iban_pattern(), None),
     # Added by this method: a social-security number, only with a context word.
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 }
@@ -120,41 +151,85 @@ def _spans(body: Column, kind: str) -> Column:
     def lengths(texts: Column) -> Column:
         return F.transform(texts, lambda t: F.length(t).cast("long"))
 
-    def add_up(sizes: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    def located(part: Column) -> Column:
-        def span(match: Column, i: Column) -> Column:
-            return F.struct(
-                match.alias("match"), (add_up(part["gaps"], i + 1) + add_up(part["sizes"], i)).alias("start")
+    def starts(part: Column) -> Column:
+        """Start of each match: the lengths of all pieces and matches before it."""
+
+        def in_blocks(t: Column) -> Column:
+            # t: steps (a piece and the match after it), width of a block.
+            width = t["width"]
+
+            blocks = F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(t["steps"]) - 1) / width).cast("int")),
+                lambda k: total(F.slice(t["steps"], k * width + 1, width)),
             )
 
-        return F.transform(part["matches"], span)
-
-    def scored(span: Column) -> Column:
-        end = span["start"] + F.length(span["match"])
-        first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0).cast("long"))
-        near = F.lower(body.substr((first + 1).cast("int"), (end - first + CONTEXT_CHARS).cast("int")))
-        bonus = F.when(near.rlike(rf"(?U)\b(?:{CONTEXT[kind]})\b"), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            span["start"].alias("start"),
-            end.alias("end"),
-            (F.lit(SCORES[kind]) + bonus).alias("score"),
-        )
+            def from_blocks(sums: Column) -> Column:
+                before = F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+                return _let(
+                    before,
+                    lambda known: F.transform(
+                        part["sizes"],
+                        lambda _, i: F.get(known, F.floor(i / width).cast("int"))
+                        + total(F.slice(t["steps"], F.floor(i / width).cast("int") * width + 1, i % width))
+                        + F.get(part["gaps"], i),
+                    ),
+                )
+
+            return _let(blocks, from_blocks)
+
+        n = F.size(part["sizes"])
+        steps = F.zip_with(F.slice(part["gaps"], F.lit(1), n), part["sizes"], lambda g, m: g + m)
+        width = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+        return _let(F.struct(steps.alias("steps"), width.alias("width")), in_blocks)
+
+    def context(part: Column, i: Column) -> Column:
+        """The match with up to ``CONTEXT_CHARS`` code points on either side, taken
+        from the pieces and matches next to it: two pieces and a match each."""
+
+        def end(text: Column) -> Column:
+            return F.right(F.coalesce(text, F.lit("")), F.lit(CONTEXT_CHARS))
+
+        def begin(text: Column) -> Column:
+            return F.left(F.coalesce(text, F.lit("")), F.lit(CONTEXT_CHARS))
+
+        pieces, matches = part["pieces"], part["matches"]
+        left = end(F.concat(end(F.get(pieces, i - 1)), end(F.get(matches, i - 1)), end(F.get(pieces, i))))
+        right = begin(F.concat(begin(F.get(pieces, i + 1)), begin(F.get(matches, i + 1)), begin(F.get(pieces, i + 2))))
+        return F.concat(left, F.get(matches, i), right)
 
     def confirmed(matches: Column) -> Column:
-        part = F.struct(
-            matches.alias("matches"),
-            lengths(F.split(body, pattern, -1)).alias("gaps"),
-            lengths(matches).alias("sizes"),
-        )
-        spans = _let(part, located)
-        if kind in CHECKS:
-            spans = F.filter(spans, lambda s: CHECKS[kind](s["match"]))
-        spans = F.transform(spans, scored)
-        if kind not in BASE:
-            spans = F.filter(spans, lambda s: s["score"] >= THRESHOLD)
+        part = F.struct(matches.alias("matches"), F.split(body, pattern, -1).alias("pieces"))
+
+        def measured(p: Column) -> Column:
+            return F.struct(
+                p["matches"].alias("matches"), p["pieces"].alias("pieces"),
+                lengths(p["pieces"]).alias("gaps"), lengths(p["matches"]).alias("sizes"),
+            )
+
+        def located(p: Column) -> Column:
+            def span(start: Column, i: Column) -> Column:
+                match = F.get(p["matches"], i)
+                near = F.lower(context(p, i))
+                bonus = F.when(near.rlike(rf"(?U)\b(?:{CONTEXT[kind]})\b"), CONTEXT_BONUS).otherwise(0.0)
+                right = CHECKS[kind](match) if kind in CHECKS else F.lit(True)
+                return F.when(
+                    right,
+                    F.struct(
+                        F.lit(kind).alias("kind"),
+                        start.alias("start"),
+                        (start + F.length(match)).alias("end"),
+                        (F.lit(SCORES[kind]) + bonus).alias("score"),
+                    ),
+                )
+
+            return F.transform(starts(p), span)
+
+        spans = _let(_let(part, measured), located)
+        least = 0.0 if kind in BASE else THRESHOLD
+        spans = F.filter(spans, lambda s: s.isNotNull() & (s["score"] >= least))
         return F.when(F.size(matches) > 0, spans).otherwise(none)
 
     found = _let(F.regexp_extract_all(body, pattern_col, F.lit(0)), confirmed)
@@ -171,18 +246,19 @@ def find_pii(
     code points, end exclusive, to the columns ``carry`` (all, if None).
 
     Defined cases: a null text counts as empty; an empty text has no spans;
-    spans of different kinds may overlap; repeated rows each get their own
-    result; input columns named like an output column are left out.
+    long texts are searched as a whole, in time n ** 1.5 for n matches of a
+    kind; spans of different kinds may overlap; repeated rows each get their
+    own result; an empty table gives no rows; input columns named like an
+    output column are left out, other names are free.
     """
-    keep = common.carried(docs, carry, MADE)
-    body = F.coalesce(F.col("__body"), F.lit(""))
-    staged = docs.select(*keep, F.col(text).alias("__body"))
-    staged = staged.select(*keep, F.concat(*(_spans(body, k) for k in PATTERNS)).alias("found"))
+    own = common.Own(docs, carry, MADE)
+    staged = docs.select(*own.staged, F.coalesce(common.named(text), F.lit("")).alias("body"))
+    staged = staged.select(*own.names, F.concat(*(_spans(F.col("body"), k) for k in PATTERNS)).alias("found"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return staged.select(*keep, *map(count, BASE), "found")
+    return staged.select(*own.restored, *map(count, BASE), "found")
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
