@@ -18,6 +18,7 @@ that one short item doesn't shorten every skip.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -104,21 +105,52 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int):
-    """Benchmark rows in blocks of at most ``limit`` text bytes (one row at least)."""
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary"))
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int, window: int):
+    """Benchmark rows in blocks of about ``limit`` text bytes; the driver holds
+    one of them. A longer item is cut into pieces that share ``window - 1``
+    words, so that every window lies in one of them."""
+    rows = benchmark.select(common.named(item_id).cast("string"), common.named(item_text).cast("binary"))
     block: list[tuple[str, bytes]] = []
     size = 0
     for item, text in rows.toLocalIterator():
-        text = bytes(text or b"")
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item or "", text))
-        size += len(text)
+        for piece in _pieces(bytes(text or b""), limit, window):
+            if block and size + len(piece) > limit:
+                yield block
+                block, size = [], 0
+            block.append((item or "", piece))
+            size += len(piece)
     yield block
 
 
+def _pieces(text: bytes, limit: int, window: int):
+    if len(text) <= limit:
+        yield text
+        return
+    found = common.words(text)
+    start = 0
+    while True:
+        end, size = start, 0
+        while end < len(found) and (size <= limit or end - start < 2 * window):
+            size += len(found[end]) + 1
+            end += 1
+        yield b" ".join(found[start:end])
+        if end == len(found):
+            return
+        start = end - window + 1
+
+
+#: Tables of the block that this worker process searched last.
+_TABLES: dict = {}
+
+
+def tables_of(name: str, block, window: int) -> list[WuManber]:
+    """Tables of the broadcast block ``name``, built once per worker process."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = build(block.value, window)
+    return _TABLES[name]
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -135,37 +167,46 @@ def decontaminate(
     Adds ``n_words``, ``n_hit`` (words inside any occurrence), ``n_items``,
     ``item_ids`` (strings, sorted), ``hit_spans`` (disjoint word intervals,
     end exclusive) and ``contaminated`` to the columns ``carry`` (all, if
-    None). The benchmark is read in blocks of at most ``block_bytes``; each
-    block is broadcast and searched in one pass over the documents, and the
-    passes are chained in one stage, so no shuffle takes place and memory
-    doesn't grow with the benchmark (the tables of a pass take about 200 times
-    the bytes of its block).
-
-    Defined cases: a null text has no words; an item without words has no
-    windows; a null item id counts as the empty string; an item id that occurs
-    in several rows counts once; repeated documents each get their own row; a
-    document column named like an output column is left out; an empty
-    benchmark marks nothing.
+    None). The benchmark is read in blocks of about ``block_bytes``; each is
+    broadcast and searched in a pass of its own over the documents, without a
+    shuffle. A task runs one Python worker with the tables of one block (about
+    200 times its bytes), however many blocks there are: between passes the
+    rows are written to the shared folder. Benchmarks of one block, which is
+    the rule, are searched in one pass that writes nothing.
+
+    Defined cases: a null text has no words; long texts are searched as a
+    whole; an item without words has no windows; a null item id counts as the
+    empty string; an item id that occurs in several rows counts once; repeated
+    documents each get their own row; an empty benchmark marks nothing, an
+    empty table gives no rows; a document column named like an output column
+    is left out, other names are free.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    keep = common.carried(docs, carry, MADE)
-    out = docs.select(*keep, F.col(text).alias("__text"))
+    own = common.Own(docs, carry, MADE)
+    out = docs.select(*own.staged, common.named(text).alias("body"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [
         T.StructField("n_words", T.LongType()),
         T.StructField("item_ids", T.ArrayType(T.StringType())),
         T.StructField("hit_spans", span),
     ]
-    schema = T.StructType([*common.fields(out, [*keep, "__text"]), *made])
-    last = T.StructType([f for f in schema.fields if f.name != "__text"])
-    blocks = list(_broadcast_blocks(spark, benchmark, item_id, item_text, block_bytes, window))
-    for k, block in enumerate(blocks):
-        final = k == len(blocks) - 1
-        out = out.mapInArrow(_pass(block, window, keep, final), last if final else schema)
+    schema = T.StructType([*common.fields(out, [*own.names, "body"]), *made])
+    last = T.StructType([f for f in schema.fields if f.name != "body"])
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes, window)
+    block, old = next(blocks), None
+    for following in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        out = common.cut(out.mapInArrow(_pass(sent, window, own.names, False), schema))
+        sent.unpersist()
+        if old is not None:
+            common.drop_tables(old)
+        block, old = following, out
+    sent = spark.sparkContext.broadcast(block)
+    out = out.mapInArrow(_pass(sent, window, own.names, True), last)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select(
-        *keep,
+        *own.restored,
         "n_words",
         hit.alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
@@ -175,16 +216,15 @@ def decontaminate(
     )
 
 
-def _broadcast_blocks(spark, benchmark, item_id, item_text, limit, window):
-    for block in _blocks(benchmark, item_id, item_text, limit):
-        yield spark.sparkContext.broadcast(block)
-
-
 def _pass(block, window: int, keep: list[str], final: bool):
+    name = uuid.uuid4().hex
+
     def run(batches):
         import pyarrow as pa
 
-        tables = build(block.value, window)
+        from skerry.llm.decontaminate import tables_of  # the module of the worker, not a pickled copy
+
+        tables = tables_of(name, block, window)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             names = batch.schema.names
@@ -194,7 +234,7 @@ def _pass(block, window: int, keep: list[str], final: bool):
                 else None
             )
             n_words, ids, hits = [], [], []
-            for raw in common.as_bytes(batch.column("__text")):
+            for raw in common.as_bytes(batch.column("body")):
                 found = common.words(raw)
                 items, spans = search(tables, found)
                 if before is not None:
@@ -204,7 +244,7 @@ def _pass(block, window: int, keep: list[str], final: bool):
                 n_words.append(len(found))
                 ids.append(sorted(items))
                 hits.append([{"start": s, "end": e} for s, e in spans])
-            kept = [*keep, *([] if final else ["__text"])]
+            kept = [*keep, *([] if final else ["body"])]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in kept),
