@@ -2,12 +2,13 @@
 
 Of the pages with equal payloads, one is archived as ``response`` and the
 others as ``revisit`` records without a payload, which refer to it. Headers
-(digest, length, id) are shuffled by payload digest to find each group's
-response; the records join that table, get fresh headers and are written
-through Spark's own text writer, so any store that Spark can reach will do.
-The records are gzip-compressed per file. Reading parses the archives by their
-``Content-Length`` and checks every digest; revisits are resolved by joining
-them to the responses.
+(digest, length, id; no payload) are shuffled by payload digest to find each
+group's response. The table of groups is joined back to the pages: broadcast,
+if its counted rows prove it small, else shuffled. The records get fresh
+headers and are written through Spark's own text writer, so any store that
+Spark can reach will do, in gzip files of bounded bytes. Reading parses the
+archives by their ``Content-Length`` and checks every digest; revisits are
+resolved by joining them to the responses.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ from . import common
 #: A record of a WARC/1.1 file ends with two line breaks.
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 4096
+#: Bytes of payloads per archive, and the payload size up to which pages share
+#: archives; larger ones are written apart, fewer to a file.
+ARCHIVE_BYTES = 256 << 20
+USUAL_BYTES = 128 << 10
+#: Groups of equal payloads up to this number (about 80 bytes each) are broadcast.
+BROADCAST_GROUPS = 500_000
 
 
 def _uri(url: Column) -> Column:
@@ -36,15 +42,13 @@ def _id(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
 
 
-def classify(
-    pages: DataFrame, *, page_id: str, url: str, html: str, min_bytes: int
-) -> DataFrame:
+def classify(pages: DataFrame, *, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
     """Rows ``(id, url, html, bytes, digest, response)``; ``response`` is the
     id that the row revisits, null if the row is a response itself."""
-    body = F.coalesce(F.col(html), F.lit(""))
+    body = F.coalesce(common.named(html), F.lit(""))
     rows = pages.select(
-        F.col(page_id).alias("id"),
-        F.col(url).alias("url"),
+        common.named(page_id).alias("id"),
+        common.named(url).alias("url"),
         body.alias("html"),
         F.octet_length(body).cast("long").alias("bytes"),
         F.sha1(body.cast("binary")).alias("digest"),
@@ -56,10 +60,12 @@ def classify(
         .where("n > 1")
         .select(F.col("digest").alias("of"), "keeper")
     )
-    # A hot digest is split by the adaptive skew join: both sides are shuffled
-    # for the join alone, and the table of groups is on disk.
     groups = common.cut(groups)
-    joined = rows.join(groups.hint("shuffle_hash"), F.col("digest") == F.col("of"), "left")
+    # Beyond the bound a hot digest is split by the adaptive skew join: both
+    # sides are shuffled for the join alone.
+    small = groups.count() <= BROADCAST_GROUPS
+    groups = F.broadcast(groups) if small else groups.hint("shuffle_hash")
+    joined = rows.join(groups, F.col("digest") == F.col("of"), "left")
     other = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
     return joined.select(
         "id", "url", "html", "bytes", "digest", F.when(other, F.col("keeper")).alias("response")
@@ -101,19 +107,30 @@ def write_archives(
 ) -> None:
     """Write one record per row of ``pages`` to gzip files below ``path``.
 
+    Files hold at most about ``ARCHIVE_BYTES`` of payloads, or one record.
+
     Defined cases: a null payload is empty; payloads below ``min_bytes`` are
     always responses; the response of a group is the row with the largest id
     (a null id only if there is no other), and repeated rows of that id are
-    responses too; control characters and blanks of a URL are escaped.
+    responses too; control characters and blanks of a URL are escaped; long
+    payloads go to files of their own; an empty table gives archives without
+    records; columns of other names play no part.
     """
+    longest = pages.agg(F.max(F.octet_length(common.named(html)))).first()[0] or 0
     rows = classify(pages, page_id=page_id, url=url, html=html, min_bytes=min_bytes)
+    _write(rows.where(F.col("bytes") <= USUAL_BYTES), f"{path}/usual", USUAL_BYTES, date)
+    if longest > USUAL_BYTES:
+        _write(rows.where(F.col("bytes") > USUAL_BYTES), f"{path}/long", longest, date)
+
+
+def _write(rows: DataFrame, path: str, largest: int, date: str) -> None:
     (
         rows.select(record(date).alias("value"))
         .write.mode("overwrite")
         .option("lineSep", RECORD_END)
         .option("compression", "gzip")
         .option("zlib.compress.level", "BEST_SPEED")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // largest))
         .text(path)
     )
 
@@ -216,7 +233,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Returns page_id, payload_bytes and payload_digest (of the full payload;
     a revisit has those of its response), record_type and refers_to.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    files = found.load(path).select("content")
     with common.batches_of(spark, 1):  # a row is a whole file
         records = common.cut(files.mapInArrow(_parse_batches, HEADERS))
     responses = records.where("record_type = 'response'")
