@@ -166,13 +166,17 @@ def top_k(
 
     Defined cases: vectors that are null or hold a null, infinite or NaN
     component take no part, nor do rows with a null id; only vectors of the
-    query's length are candidates; rows that repeat both id and vector count
-    once; rows of the query's id are no candidates; ties go to the smaller id;
-    a query with fewer than ``k`` candidates gets all of them.
+    query's length are candidates; candidate rows that repeat both id and
+    vector each count, queries that do are asked once; rows of the query's id
+    are no candidates; ties go to the smaller id; a query with fewer than
+    ``k`` candidates gets all of them; an empty table gives no rows; columns of
+    other names play no part.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"), is_query.alias("asks"))
+    rows = vectors.select(
+        common.named(vec_id).cast("long").alias("vec_id"), common.named(embedding).alias("e"), is_query.alias("asks")
+    )
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    rows = rows.select("vec_id", quantised(F.col("e")).alias("v"), "asks").dropDuplicates(["vec_id", "v"])
+    rows = rows.select("vec_id", quantised(F.col("e")).alias("v"), "asks")
     rows = rows.withColumn("dim", F.size("v"))
     path = common.shared_dir(vectors.sparkSession)
     rows = common.cut(rows, path)
@@ -188,7 +192,7 @@ def top_k(
 
     index = rows.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("shard"))
     index = index.select("*", all_of(n_blocks).alias("block"))
-    queries = asking.where("asks").select(
+    queries = asking.where("asks").dropDuplicates(["vec_id", "v"]).select(
         "dim", F.col("vec_id").alias("query_id"), "v",
         F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"),
     )
@@ -232,7 +236,7 @@ WITH e AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+  FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 50 = 0) q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
