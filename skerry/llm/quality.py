@@ -235,18 +235,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_features(docs: DataFrame, *, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus the feature vector ``__x``."""
+    """``keep`` columns plus the feature vector ``x``."""
     common.bound_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*common.fields(source, keep), T.StructField("__x", T.ArrayType(T.DoubleType()))])
+    source = docs.select(*keep, text)
+    schema = T.StructType([*common.fields(source, keep), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(raw) for raw in common.as_bytes(batch.column("__text"))]
+            rows = [features(raw) for raw in common.as_bytes(batch.column(text))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "__x"]
+                [*(batch.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "x"]
             )
 
     return source.mapInArrow(run, schema)
@@ -261,21 +261,22 @@ def train(
     corpus, and it is the same in every run. A document with several labels
     counts as good if they are good on average.
     """
+    marks = labels.select(common.named(doc_id).alias("of"), F.col("quality").alias("mark"))
     per = (
-        labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-        .groupBy(F.col(doc_id).alias("__of"))
-        .agg((F.avg("quality") >= 0.5).cast("int").alias("__y"))
+        marks.where(F.col("mark").isNotNull() & F.col("of").isNotNull() & ~held_out(F.col("of")))
+        .groupBy("of")
+        .agg((F.avg("mark") >= 0.5).cast("int").alias("y"))
     )
-    drawn = per.orderBy(F.xxhash64("__of", F.lit(5)), "__of").limit(max_rows)
+    drawn = per.orderBy(F.xxhash64("of", F.lit(5)), "of").limit(max_rows)
     # The sample has at most max_rows rows of two numbers.
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(
-        F.broadcast(common.cut(drawn)), F.col("__id") == F.col("__of")
+    rows = docs.select(common.named(doc_id).alias("id"), common.named(text).alias("text")).join(
+        F.broadcast(common.cut(drawn)), F.col("id") == F.col("of")
     )
     # Of repeated ids the text with the smallest hash, so the fit is the same in every run.
-    rows = rows.groupBy("__id").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"), F.first("__y").alias("__y"))
-    found = with_features(rows, text="__t", keep=["__id", "__y"]).collect()
+    rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    found = with_features(rows, text="text", keep=["id", "y"]).collect()
     found.sort(key=lambda r: r[0])
-    return fit([r["__x"] for r in found], [r["__y"] for r in found], **params)
+    return fit([r["x"] for r in found], [r["y"] for r in found], **params)
 
 
 def score(
@@ -292,14 +293,16 @@ def score(
     Adds ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on) to
     the columns ``carry`` (all, if None).
 
-    Defined cases: a null text scores as an empty one; without any labelled
-    document every score is 0.5; a null id isn't held out; repeated rows each
-    get their own score; input columns named like an output column are left
-    out.
+    Defined cases: a null text scores as an empty one; long texts are scored as
+    a whole; without any labelled document every score is 0.5; a null id isn't
+    held out; repeated rows each get their own score; an empty table gives no
+    rows; input columns named like an output column are left out, other names
+    are free.
     """
     common.bound_batches(docs.sparkSession)
-    keep = common.carried(docs, carry, MADE)
-    source = docs.select(*keep, F.col(text).alias("__text"), held_out(F.col(doc_id)).alias("held_out"))
+    own = common.Own(docs, carry, MADE)
+    keep = own.names
+    source = docs.select(*own.staged, common.named(text).alias("body"), held_out(common.named(doc_id)).alias("held_out"))
     schema = T.StructType(
         [*common.fields(source, [*keep, "held_out"]), T.StructField("score", T.DoubleType())]
     )
@@ -310,14 +313,15 @@ def score(
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(raw) for raw in common.as_bytes(batch.column("__text"))]
+            rows = [features(raw) for raw in common.as_bytes(batch.column("body"))]
             x = np.array(rows, float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), batch.column("held_out"), pa.array(fitted.value.score(x))],
                 names=[*keep, "held_out", "score"],
             )
 
-    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return source.mapInArrow(run, schema).select(*own.restored, "held_out", "score", predicted)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
