@@ -241,11 +241,15 @@ def test_mix(spark, docs):
     want = 0
     for r in rows:
         rate = total / len(size) / size[r.source]
-        u = int(hashlib.md5(f"7:{'-' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        k, c = 0, math.exp(-rate)
-        while c <= u:  # in log space: the rate of a tiny source is high
-            k += 1
-            c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        parts, k = max(1, math.ceil(rate / 64)), 0
+        for part in range(parts):  # a high rate is the sum of draws of equal means
+            name = f"7:{'-' if r.doc_id is None else r.doc_id}" + (f":{part}" if part else "")
+            u = int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / 2**52
+            n, c, mean = 0, math.exp(-rate / parts), rate / parts
+            while c <= u:
+                n += 1
+                c += math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))
+            k += n
         want += k
         assert sum(x.doc_id == r.doc_id and x.source == r.source for x in out) == k * sum(
             y.doc_id == r.doc_id and y.source == r.source for y in rows
@@ -254,6 +258,26 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     none = mixing.mix(docs, spark.createDataFrame([("s0", 1.0)], "source string, weight double")).collect()
     assert {r.source for r in none} <= {"s0"}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_rate=10.0)
+
+
+def test_mix_high_rate(spark, monkeypatch):
+    """A rate of a million in linear time, with the mean and spread of Poisson; sources joined, not broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rows = [(0, "", "rare"), (1, "x" * 1_999_998, "usual"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, max_rate=1e7).groupBy("source").agg(F.count("*").alias("n"), F.max("rate").alias("rate"))
+    found = {r.source: (r.n, r.rate) for r in out.collect()}
+    for source in ("rare", None):
+        n, rate = found[source]
+        assert rate > 600_000 and abs(n - rate) < 6 * rate**0.5
+
+
+def test_mix_names(spark):
+    rows = [(1, "a b", "s", "kept", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own_0 string, src int")
+    assert {(r.own_0, r.src) for r in mixing.mix(df).collect()} <= {("kept", 5)}
 
 
 # 8 ---------------------------------------------------------------------------
@@ -395,6 +419,12 @@ def test_pii(spark):
         base = [(s.kind, s.start, s.end) for s in got[k].found if s.kind in pii.BASE]
         assert base == brute_pii(text), text
         assert got[k].n_email == sum(s[0] == "email" for s in base)
+    many = spark.createDataFrame([(1, "ip 1.2.3.4, " * 100_000)], "doc_id long, text string")
+    spans = pii.find_pii(many, carry=[]).collect()[0].found
+    assert [(x.start, x.end) for x in spans] == [(3 + 12 * k, 10 + 12 * k) for k in range(100_000)]
+    assert {x.score for x in spans} == {0.8}
+    after = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00 BIC 12")], "doc_id long, text string")
+    assert [tuple(x)[:3] for x in pii.find_pii(after).collect()[0].found] == [("iban", 5, 32)]
     added = {k: [s.kind for s in got[k].found if s.kind not in pii.BASE] for k in (8, 9, 10)}
     assert added == {8: ["iban", "iban"], 9: ["ssn"], 10: []}
     assert pii.find_pii(df.limit(0)).count() == 0
