@@ -1,15 +1,15 @@
 """URL filters: listed rules first, mined association rules for the rest.
 
 Listed rules (host suffix and path prefix) judge the URLs they fit. Their
-verdicts are also the labels from which FP-growth learns: every URL becomes a
-set of tokens (parts of host, path and query, plus its verdict, if it has one),
-and rules ``tokens -> verdict`` with enough support and confidence are kept.
-Confidence counts the unlabelled URLs too: those that share the tokens but have
-no verdict speak against a rule, so a list that covers only one corner of a
-host doesn't condemn the whole host. A rule is pruned if a more general one
-with the same verdict is at least as confident.
+verdicts are the labels from which FP-growth learns: every labelled URL becomes
+a set of tokens (all parts of host, path and query) plus its verdict, and rules
+``tokens -> verdict`` with enough support and confidence are kept. Their counts
+are then taken again over all labelled URLs, and a rule is pruned if a more
+general one with the same verdict is at least as confident.
 URLs that no listed rule fits are matched against the mined rules through an
 inverted index from each rule's rarest token; the most confident rule decides.
+Where none matches, the prior does: the more frequent verdict among the
+labelled URLs.
 """
 
 from __future__ import annotations
@@ -35,7 +35,11 @@ LISTED = (
 )
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Where not a single URL is labelled.
 DEFAULT = "allow"
+#: FP-growth counts all sets of the frequent tokens that occur together, so no
+#: basket may hold more of them than this; see ``mine``.
+BASKET = 16
 
 
 def host_of(url: Column) -> Column:
@@ -91,48 +95,121 @@ class MinedRule:
         return "+".join(sorted(self.needs))
 
 
-def mine(
-    rows: DataFrame,
-    *,
-    min_support: float = 0.002,
-    min_confidence: float = 0.75,
-    max_rows: int = 50_000,
-    max_tokens: int = 12,
-) -> list[MinedRule]:
-    """Rules from rows ``(key, tokens, verdict or null)`` by FP-growth.
-
-    The model is fitted on about ``max_rows`` rows at most, drawn by a hash of
-    their key (which should differ between rows of one URL, or a hot URL is
-    drawn as a whole or not at all); of each row the first ``max_tokens``
-    tokens are used. Both bounds concern learning only: every URL is matched
-    with all its tokens. The number of rules is bounded by the support: a rule needs
-    ``min_support`` of the drawn rows.
+def baskets_of(rows: DataFrame, min_support: float) -> tuple[DataFrame, float, dict[str, str]]:
+    """Baskets of the frequent tokens of ``rows (tokens, verdict)``, the support
+    that they need, and the token that stands for each frequent one.
+
+    Rare tokens can't be in a frequent set and are left out. Tokens that occur
+    in exactly the same rows (equal counts and equal sums of row hashes) tell
+    the same, so one stands for any of them, here and when URLs are matched. If some basket still holds more
+    than ``BASKET`` tokens, the support is doubled until none does: a bound on
+    the number of sets that treats all tokens alike, wherever they stand.
     """
+    rows = common.cut(rows.select("verdict", "tokens", F.monotonically_increasing_id().alias("row")))
     n = rows.count()
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    marks = (F.xxhash64("row").cast("decimal(38,0)"), F.xxhash64("row", F.lit(1)).cast("decimal(38,0)"))
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), *(F.sum(m).alias(f"m{k}") for k, m in enumerate(marks)))
+    counted = common.cut(counted.where(F.col("n") >= min_support * n))
+    found = counted.collect()  # at most tokens per row / min_support rows
+    first: dict = {}
+    for r in sorted(found, key=lambda r: r.token):
+        first.setdefault((r.n, r.m0, r.m1), r.token)
+    stands = {r.token: first[(r.n, r.m0, r.m1)] for r in found}
+    counts = {t: n_ for (n_, _, _), t in first.items()}
+    support = min_support
+    while True:
+        names = sorted(t for t in counts if counts[t] >= support * n)
+        kept = F.filter("tokens", lambda t: t.isin(names)) if names else F.array().cast("array<string>")
+        # Of tokens that stand together the first is in the row whenever one is.
+        baskets = rows.select(F.array_append(kept, F.concat(F.lit("="), F.col("verdict"))).alias("items"))
+        most = baskets.agg(F.max(F.size("items"))).first()[0]
+        if (most or 0) <= BASKET + 1:
+            return baskets, support, stands
+        support *= 2
+
+
+def mine(
+    rows: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.75, max_rows: int = 50_000
+) -> tuple[list[MinedRule], str | None, dict[str, str]]:
+    """Rules, the prior verdict and the token that stands for each frequent
+    one, from rows ``(key, tokens, verdict)`` by FP-growth.
+
+    The candidates for rules come from about ``max_rows`` labelled rows, drawn
+    by a hash of their key (which should differ between rows of one URL, or a
+    hot URL is drawn as a whole or not at all), with all their tokens; a rule
+    needs ``min_support`` of the drawn rows, which bounds their number. The
+    rules' support and confidence are counted over all labelled rows.
+    """
+    rows = rows.where("verdict IS NOT NULL")
+    counts = {r[0]: r[1] for r in rows.groupBy("verdict").count().collect()}
+    n = sum(counts.values())
     if not n:
-        return []
+        return [], None, {}
+    prior = min(counts, key=lambda v: (-counts[v], v))
     share = min(1.0, max_rows / n)
     drawn = rows.where(F.xxhash64("key", F.lit(11)) / F.lit(float(1 << 64)) + 0.5 < share)
-    baskets = common.cut(
-        drawn.select(
-            F.concat(
-                F.slice("tokens", 1, max_tokens), F.array_compact(F.array(F.concat(F.lit("="), F.col("verdict"))))
-            ).alias("items")
-        )
-    )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets, support, stands = baskets_of(drawn, min_support)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(common.cut(baskets))
     found = (
         model.associationRules.where(F.col("consequent")[0].startswith("="))
         .where(~F.exists("antecedent", lambda x: x.startswith("=")))
+        .select("antecedent", F.substring(F.col("consequent")[0], 2, 1 << 30).alias("verdict"))
         .collect()  # bounded by the support
     )
-    rules = [
-        MinedRule(frozenset(r.antecedent), r.consequent[0][1:], float(r.confidence), float(r.support)) for r in found
-    ]
-    rules.sort(key=lambda r: (len(r.needs), r.name, r.verdict))
+    needs = sorted({frozenset(r.antecedent) for r in found}, key=sorted)
+    exact = _counted(rows, needs, stands)
+    rules = []
+    for at, need in enumerate(needs):
+        held = {v: exact.get((at, v), 0) for v in counts}
+        total = sum(held.values())
+        rules += [
+            MinedRule(need, v, k / total, k / n)
+            for v, k in held.items()
+            if total and k / total >= min_confidence and k / n >= support
+        ]
+    return pruned(rules), prior, stands
+
+
+def _counted(rows: DataFrame, needs: list[frozenset], stands: dict[str, str]) -> dict[tuple[int, str], int]:
+    """Labelled rows per token set and verdict, over all rows."""
+    if not needs:
+        return {}
+    sets = rows.sparkSession.sparkContext.broadcast(needs)  # as many as rules
+
+    def run(batches):
+        import pyarrow as pa
+
+        uses: dict = defaultdict(int)
+        for need in sets.value:
+            for t in need:
+                uses[t] += 1
+        index = defaultdict(list)
+        for at, need in enumerate(sets.value):
+            index[min(need, key=lambda t: (uses[t], t))].append((at, need))
+        sums: dict = defaultdict(int)
+        for batch in batches:
+            for tokens_, verdict in zip(batch.column("tokens").to_pylist(), batch.column("verdict").to_pylist()):
+                present = {stands.get(t, t) for t in tokens_}
+                for t in present:
+                    for at, need in index.get(t, ()):
+                        if need <= present:
+                            sums[at, verdict] += 1
+        keys = list(sums)
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string())]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array([sums[k] for k in keys], pa.int64())], names=["at", "verdict", "n"]
+        )
+
+    found = rows.select("tokens", "verdict").mapInArrow(run, "at long, verdict string, n long")
+    return {(r.at, r.verdict): r.n for r in found.groupBy("at", "verdict").agg(F.sum("n").alias("n")).collect()}
+
+
+def pruned(rules: list[MinedRule]) -> list[MinedRule]:
+    """Rules without those that a more general one of their verdict makes needless."""
     kept: list[MinedRule] = []
     index: dict = defaultdict(list)
-    for rule in rules:
+    for rule in sorted(rules, key=lambda r: (len(r.needs), r.name, r.verdict)):
         general = {id(g): g for t in rule.needs for g in index[t]}.values()
         if any(g.needs <= rule.needs and g.verdict == rule.verdict and g.confidence >= rule.confidence for g in general):
             continue
@@ -171,28 +248,30 @@ def filter_urls(
     default: str = DEFAULT,
     **mining,
 ) -> DataFrame:
-    """Judge every URL: listed rule, else mined rule, else ``default``.
+    """Judge every URL: listed rule, else mined rule, else the prior verdict
+    (``default``, if not a single URL is labelled).
 
     Adds ``host``, ``path``, ``rule`` (listed rule or null), ``verdict``,
-    ``mined_rule`` and ``confidence`` (null where a listed rule or the default
+    ``mined_rule`` and ``confidence`` (null where a listed rule or the prior
     decides) to the columns ``carry`` (all, if None). Rows to learn from are
     drawn by ``page_id`` and URL.
 
     Defined cases: a null URL or one without ``://`` has an empty host and
-    path, so no listed rule fits; if no row is labelled, or nothing passes the
-    pruning, the default decides; repeated rows each get their own verdict;
-    input columns named like an output column are left out.
+    path, so no listed rule fits; long URLs count with all their tokens; if
+    nothing passes the pruning, the prior decides; repeated rows each get
+    their own verdict; an empty table gives no rows; input columns named like
+    an output column are left out, other names are free.
     """
-    keep = common.carried(pages, carry, MADE)
-    drawn_by = F.xxhash64(*([page_id] if page_id else []), url)
-    staged = pages.select(*keep, F.col(url).alias("__url"), drawn_by.alias("__draw"))
-    staged = staged.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
-    staged = staged.withColumn("__hit", listed_rule(F.col("host"), F.col("path"), listed))
-    staged = staged.withColumn("__tokens", tokens(F.col("__url"), F.col("host"), F.col("path")))
-    rows = staged.select(
-        F.col("__tokens").alias("tokens"), F.col("__hit.verdict").alias("verdict"), F.col("__draw").alias("key")
-    )
-    rules = pages.sparkSession.sparkContext.broadcast(mine(rows, **mining))
+    common.bound_batches(pages.sparkSession)
+    own = common.Own(pages, carry, MADE)
+    keep = own.names
+    drawn_by = F.xxhash64(*([common.named(page_id)] if page_id else []), common.named(url))
+    staged = pages.select(*own.staged, common.named(url).alias("address"), drawn_by.alias("key"))
+    staged = staged.withColumns({"host": host_of(F.col("address")), "path": path_of(F.col("address"))})
+    staged = staged.withColumn("hit", listed_rule(F.col("host"), F.col("path"), listed))
+    staged = staged.withColumn("tokens", tokens(F.col("address"), F.col("host"), F.col("path")))
+    rules, prior, stands = mine(staged.select("tokens", F.col("hit.verdict").alias("verdict"), "key"), **mining)
+    rules = pages.sparkSession.sparkContext.broadcast((rules, stands))  # both bounded by the support
 
     out = T.StructType(
         [
@@ -207,26 +286,28 @@ def filter_urls(
         *keep,
         "host",
         "path",
-        F.col("__hit.rule").alias("rule"),
-        F.col("__hit.verdict").alias("verdict"),
-        F.when(F.col("__hit").isNull(), F.col("__tokens")).alias("__tokens"),
+        F.col("hit.rule").alias("rule"),
+        F.col("hit.verdict").alias("verdict"),
+        F.when(F.col("hit").isNull(), F.col("tokens")).alias("tokens"),
     )
-    return staged.mapInArrow(_judge_batches([*keep, "host", "path"], rules, default), out)
+    judged = staged.mapInArrow(_judge_batches([*keep, "host", "path"], rules, prior or default), out)
+    return judged.select(*own.restored, "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
 def _judge_batches(keep: list[str], rules, default: str):
     def run(batches):
         import pyarrow as pa
 
-        index = inverted(rules.value)
+        mined, stands = rules.value
+        index = inverted(mined)
         for batch in batches:
             verdicts = batch.column("verdict").to_pylist()
             names: list = [None] * len(verdicts)
             confidences: list = [None] * len(verdicts)
-            for k, found in enumerate(batch.column("__tokens").to_pylist()):
+            for k, found in enumerate(batch.column("tokens").to_pylist()):
                 if found is None:
                     continue
-                rule = decide(found, index)
+                rule = decide([stands.get(t, t) for t in found], index)
                 verdicts[k] = rule.verdict if rule else default
                 if rule:
                     names[k], confidences[k] = rule.name, rule.confidence
