@@ -144,21 +144,89 @@ _GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|cover
 #: form | priority | confidence | pattern around the name (N) or identifier (I) | extra words.
 FORMS = f"""
 spdx | 1 | 0.99 | spdx license identifier I(?: only| or later)? | spdx
-grant-name | 2 | 0.95 | {_GRANT}N | under
-grant-id | 2 | 0.9 | {_GRANT}I(?: licen[sc]e)? | under
-name | 3 | 0.8 | N(?: or (?:any )?later(?: version)?)? |
+grant-name | 3 | 0.95 | {_GRANT}N | under
+grant-id | 3 | 0.9 | {_GRANT}I(?: licen[sc]e)? | under
+name | 5 | 0.8 | N(?: or (?:any )?later(?: version)?)? |
 """
 
-#: Notices without a license name: label | confidence | words that must occur | pattern.
+#: Forms of the GNU licenses that allow later versions: label, name or identifier, then
+#: priority and confidence as above. They contain, and so suppress, the plain forms.
+LATER = """
+gpl-1.0-or-later | gnu 1 | gnu general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?1(?: 0)? | gpl 1 0
+gpl-2.0-or-later | gnu 2 | gnu general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?2(?: 0)? | gpl 2 0
+gpl-3.0-or-later | gnu 3 | gnu general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?3(?: 0)? | gpl 3 0
+lgpl-2.0-or-later | gnu general | gnu (?:lesser|library) general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?2(?: 0)? | lgpl 2 0
+lgpl-2.1-or-later | lesser 2 1 | gnu lesser general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?2 1 | lgpl 2 1
+lgpl-3.0-or-later | lesser 3 | gnu lesser general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?3(?: 0)? | lgpl 3 0
+agpl-3.0-or-later | affero 3 | gnu affero general public licen[sc]e (?:as published by the free software foundation either )?(?:v|version )?3(?: 0)? | agpl 3 0
+gfdl-1.2-or-later | free documentation 2 | gnu free documentation licen[sc]e (?:v|version )?1 2 | gfdl 1 2
+gfdl-1.3-or-later | free documentation 3 | gnu free documentation licen[sc]e (?:v|version )?1 3 | gfdl 1 3
+"""
+
+LATER_FORMS = """
+spdx-later | 0 | 0.99 | spdx license identifier I or later | spdx later
+name-later | 2 | 0.95 | N or (?:at your option )?(?:\\(at your option\\) )?any later version | later
+name-or-later | 2 | 0.9 | N or later(?: version)? | later
+"""
+
+#: Passages of license texts, headers, notices and exceptions: label | priority |
+#: confidence | words that must occur | pattern.
 NOTICES = r"""
-mit | 0.95 | permission hereby granted charge | permission is hereby granted free of charge to any person obtaining a copy
-bsd | 0.9 | redistribution binary permitted | redistribution and use in source and binary forms with or without modification are permitted
-isc | 0.9 | permission modify distribute fee | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee
-gpl | 0.9 | redistribute foundation gnu | you can redistribute it and or modify it under the terms of the gnu
-no-warranty | 0.5 | provided warranty | (?:the software )?is provided as is without warranty of any kind
-all-rights-reserved | 0.6 | rights reserved | all rights reserved
-proprietary | 0.8 | proprietary confidential | proprietary and confidential
-copyright | 0.4 | copyright | copyright (?:c )?(?:19|20)\d\d
+mit | 4 | 0.95 | permission hereby granted charge | permission is hereby granted free of charge to any person obtaining a copy
+mit | 4 | 0.7 | copyright permission included substantial portions | the above copyright notice and this permission notice shall be included in all copies or substantial portions
+mit-0 | 4 | 0.6 | permission hereby granted deal without restriction | to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies
+bsd | 4 | 0.9 | redistribution binary permitted | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause | 4 | 0.9 | neither endorse promote | neither the names? of .{1,120}? may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | 4 | 0.9 | advertising materials display | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2-clause | 4 | 0.5 | redistributions retain | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+isc | 4 | 0.9 | permission modify distribute fee | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee
+0bsd | 4 | 0.6 | permission modify distribute fee hereby granted | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+gpl | 4 | 0.9 | redistribute foundation gnu | you can redistribute it and or modify it under the terms of the gnu
+gpl | 4 | 0.7 | received gnu general | you should have received a copy of the gnu general public licen[sc]e
+lgpl | 4 | 0.8 | received gnu lesser | you should have received a copy of the gnu lesser general public licen[sc]e
+agpl | 4 | 0.8 | received gnu affero | you should have received a copy of the gnu affero general public licen[sc]e
+gpl | 4 | 0.6 | merchantability fitness particular hope useful | distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability
+gpl-3.0 | 4 | 0.8 | copyleft license software works | the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works
+gpl-2.0 | 4 | 0.8 | licenses designed freedom | the licen[sc]es for most software are designed to take away your freedom to share and change it
+gpl-exception-classpath | 2 | 0.9 | classpath exception | (?:with )?(?:the )?(?:gnu )?classpath (?:linking )?exception(?: 2 0)?
+gpl-exception-linking | 2 | 0.85 | linking executable independent modules | gives? you permission to link this library with independent modules to produce an executable
+gpl-exception-runtime | 2 | 0.9 | gcc runtime library exception | gcc runtime library exception(?: (?:v|version )?3 1)?
+gpl-exception-bison | 2 | 0.85 | bison exception | (?:with )?(?:the )?bison exception(?: 2 2)?
+gpl-exception-autoconf | 2 | 0.85 | autoconf exception | (?:with )?(?:the )?autoconf exception(?: [23] 0)?
+gpl-exception-font | 2 | 0.85 | font exception | (?:with )?(?:the )?font exception(?: 2 0)?
+gpl-exception-syscall | 2 | 0.9 | linux syscall note | linux syscall note
+llvm-exception | 2 | 0.9 | llvm | (?:with )?llvm exceptions?
+apache-2.0 | 4 | 0.9 | except compliance license obtain | you may not use (?:this file|these files) except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e
+apache-2.0 | 4 | 0.95 | www apache org licenses | www apache org licenses licen[sc]e 2 0
+apache-2.0 | 4 | 0.8 | contributor hereby grants perpetual worldwide | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable
+apache-notice | 4 | 0.6 | developed apache foundation | this product includes software developed (?:at|by) the apache software foundation
+mpl-2.0 | 4 | 0.95 | source code form subject mozilla | this source code form is subject to the terms of the mozilla public licen[sc]e(?: v(?:ersion)? ?2 0)?
+mpl-1.1 | 4 | 0.85 | contents file subject mozilla | the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+epl | 4 | 0.8 | accompanying materials available eclipse | this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e
+cddl | 4 | 0.8 | contents subject development distribution | the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+unlicense | 4 | 0.95 | unencumbered released domain | this is free and unencumbered software released into the public domain
+zlib | 4 | 0.9 | altered versions plainly marked | altered source versions must be plainly marked as such
+zlib | 4 | 0.7 | origin misrepresented claim | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+bsl-1.0 | 4 | 0.9 | permission hereby organization accompanying | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+ofl-1.1 | 4 | 0.8 | reserved font name | with reserved font names?
+cc0-1.0 | 4 | 0.85 | waived copyright neighboring | has waived all copyright and related or neighboring rights
+cc | 4 | 0.8 | creative corporation law firm | creative commons corporation is not a law firm and does not provide legal services
+cc-by | 4 | 0.85 | creativecommons org licenses by | creativecommons org licenses by(?: [1-4] [05])?
+cc-by-sa | 4 | 0.9 | creativecommons org licenses by sa | creativecommons org licenses by sa(?: [1-4] [05])?
+cc-by-nc | 4 | 0.9 | creativecommons org licenses by nc | creativecommons org licenses by nc(?: [1-4] [05])?
+cc-by-nd | 4 | 0.9 | creativecommons org licenses by nd | creativecommons org licenses by nd(?: [1-4] [05])?
+cc-by-nc-sa | 4 | 0.95 | creativecommons org licenses by nc sa | creativecommons org licenses by nc sa(?: [1-4] [05])?
+cc-by-nc-nd | 4 | 0.95 | creativecommons org licenses by nc nd | creativecommons org licenses by nc nd(?: [1-4] [05])?
+cc0-1.0 | 4 | 0.95 | creativecommons org publicdomain zero | creativecommons org publicdomain zero(?: 1 0)?
+artistic | 4 | 0.6 | artistic same terms | under the artistic licen[sc]e
+ms-pl | 4 | 0.7 | microsoft limited public | microsoft limited public licen[sc]e
+no-warranty | 4 | 0.5 | provided warranty | (?:the software )?is provided as is without warranty of any kind
+no-warranty | 4 | 0.4 | warranties merchantability disclaimed | any express or implied warranties including but not limited to the implied warranties of merchantability
+all-rights-reserved | 4 | 0.6 | rights reserved | all rights reserved
+proprietary | 4 | 0.8 | proprietary confidential | proprietary and confidential
+proprietary | 4 | 0.7 | unauthorized copying prohibited | unauthorized copying of this (?:file|software)(?: via any medium)? is strictly prohibited
+non-commercial | 4 | 0.5 | non commercial only | for (?:personal and )?non commercial use only
+copyright | 6 | 0.4 | copyright | copyright (?:c )?(?:19|20)\d\d
 """
 
 
@@ -181,15 +249,15 @@ def _rows(table: str):
 def rules() -> tuple[Rule, ...]:
     """All rules, in order of priority."""
     found = []
-    for label, needs, name, ident in _rows(SIGNATURES):
-        for form, priority, confidence, shape, extra in _rows(FORMS):
-            pattern = shape.replace("N", f"(?:{name})").replace("I", f"(?:{ident})")
-            wanted = [w for w in needs.split() if not w.isdigit()] if "N" in shape else ident.split()
-            found.append(
-                _rule(f"{label}:{form}", label, int(priority), float(confidence), [*wanted, *extra.split()], pattern)
-            )
-    for label, confidence, needs, pattern in _rows(NOTICES):
-        found.append(_rule(f"{label}:notice", label, 4, float(confidence), needs.split(), pattern))
+    for names, forms in ((SIGNATURES, FORMS), (LATER, LATER_FORMS)):
+        for at, (label, needs, name, ident) in enumerate(_rows(names)):
+            for form, priority, confidence, shape, extra in _rows(forms):
+                pattern = shape.replace("N", f"(?:{name})").replace("I", f"(?:{ident})")
+                wanted = [w for w in needs.split() if not w.isdigit()] if "N" in shape else ident.split()
+                wanted = [*wanted, *extra.split()]
+                found.append(_rule(f"{label}:{form}:{at}", label, int(priority), float(confidence), wanted, pattern))
+    for at, (label, priority, confidence, needs, pattern) in enumerate(_rows(NOTICES)):
+        found.append(_rule(f"{label}:notice:{at}", label, int(priority), float(confidence), needs.split(), pattern))
     return tuple(sorted(found, key=lambda r: (r.priority, r.name)))
 
 
@@ -271,13 +339,16 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", carry: list[str] | Non
     with a base phrase, 0 without any detection) and ``detections`` (rule,
     label, first word, end word exclusive), without suppressed ones.
 
-    Defined cases: a null text counts as empty; without a base phrase
-    ``first_word`` and ``last_word`` are null; repeated rows each get their
-    own result; input columns named like an output column are left out.
+    Defined cases: a null text counts as empty; long texts are scanned as a
+    whole; without a base phrase ``first_word`` and ``last_word`` are null;
+    repeated rows each get their own result; an empty table gives no rows;
+    input columns named like an output column are left out, other names are
+    free.
     """
     common.bound_batches(docs.sparkSession)
-    keep = common.carried(docs, carry, MADE)
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    own = common.Own(docs, carry, MADE)
+    keep = own.names
+    source = docs.select(*own.staged, common.named(text).alias("body"))
     detection = T.StructType(
         [
             T.StructField("rule", T.StringType()),
@@ -299,7 +370,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", carry: list[str] | Non
             T.StructField("detections", T.ArrayType(detection)),
         ]
     )
-    return source.mapInArrow(_scan_batches(keep), schema)
+    return source.mapInArrow(_scan_batches(keep), schema).select(*own.restored, *MADE)
 
 
 def _scan_batches(keep: list[str]):
@@ -322,7 +393,7 @@ def _scan_batches(keep: list[str]):
             ),
         ]
         for batch in batches:
-            rows = [_row(raw) for raw in common.as_bytes(batch.column("__text"))]
+            rows = [_row(raw) for raw in common.as_bytes(batch.column("body"))]
             made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *made], names=[*keep, *(name for name, _ in kinds)]
