@@ -120,12 +120,44 @@ def test_licenses(spark):
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and 0 <= r.score <= 1
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
-    assert [got[k].labels for k in (0, 3, 4)] == ["apache,apache-2.0", "gpl-2.0", ""]
+    assert [got[k].labels for k in (0, 3, 4)] == ["apache,apache-2.0", "gpl-2.0-or-later", ""]
     assert got[1].labels == "gpl,gpl-3.0" and got[2].labels == "cc-by,cc-by-nc-4.0"
     assert len(licenses.rules()) > 200
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_scan_matches_brute_force():
+    """All rules without the keyword gate, and suppression by comparing all pairs."""
+    rng = random.Random(5)
+    pieces = [
+        "licensed under the gpl 2 0 license", "GNU General Public License version 2 or any later version", "apache license version 2 0",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "redistribution and use in source and binary forms, with or without modification, are permitted", "gcc runtime library exception",
+        "Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "copyright (c) 2019", "all rights reserved", "spdx license identifier mit", "cc by sa 4 0", "creativecommons org licenses by nc sa 4 0",
+        "the mit license", "GPL-3.0-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later", "free documentation", "public domain", "zlib license",
+    ]
+    seen = set()
+    for _ in range(120):
+        text = " ".join(rng.choice(pieces) if rng.random() < 0.6 else rng.choice(WORDS) for _ in range(rng.randint(1, 9)))
+        w = [x.encode() for x in brute_words(text)]
+        line, starts = b" " + b" ".join(w) + b" ", []
+        for x in w:
+            starts.append(starts[-1] + len(w[len(starts) - 1]) + 1 if starts else 1)
+        hits = []
+        for rule in licenses.rules():
+            for m in rule.pattern.finditer(line):
+                hits.append((starts.index(m.start()), sum(s < m.end() for s in starts), rule))
+        kept = []
+        for d in sorted(hits, key=lambda d: (d[2].priority, d[0] - d[1], d[0], d[2].name)):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        n, _, found = licenses.scan(text.encode())
+        assert n == len(w) and found == sorted(kept, key=lambda d: (d[0], d[1], d[2].name)), text
+        seen |= {r.label for _, _, r in found}
+    assert len(seen) > 12 and len({r.name for r in licenses.rules()}) == len(licenses.rules()) > 450
+
+
 def test_suppression():
     a, b, *_ = licenses.rules()
     kept = licenses.suppressed([(0, 5, b), (1, 4, b), (0, 5, a), (4, 9, b)])
@@ -161,6 +193,47 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_mining_matches_brute_force(spark, monkeypatch):
+    """All token sets counted by hand; a mined rule decides; long URLs keep their last tokens."""
+    from itertools import combinations
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(120):
+        tokens = sorted({*rng.sample("abcdef", rng.randint(1, 4)), "z"})
+        rows.append((k, tokens, "block" if "a" in tokens and "b" in tokens else rng.choice(["allow", "allow", "block"])))
+    rows += [(500, ["a"], None)]
+    df = spark.createDataFrame(rows, "key long, tokens array<string>, verdict string")
+    rules, prior, _ = urlfilter.mine(df, min_support=0.05, min_confidence=0.6)
+    labelled = [(set(t), v) for _, t, v in rows if v]
+    want = {}
+    for size in range(1, 8):
+        for need in combinations("abcdefz", size):
+            held = [v for t, v in labelled if t.issuperset(need)]
+            for v in ("allow", "block"):
+                k = held.count(v)
+                if held and k / len(held) >= 0.6 and k / len(labelled) >= 0.05:
+                    want[frozenset(need), v] = k / len(held)
+    best = {
+        (n, v) for (n, v), c in want.items()
+        if not any(m < n and u == v and d >= c for (m, u), d in want.items())
+    }
+    assert {(r.needs, r.verdict) for r in rules} == best and len(best) > 5
+    assert {r.confidence for r in rules} <= set(want.values())
+    assert prior == max(("allow", "block"), key=[v for _, v in labelled].count)
+
+    urls = [f"http://a{k}.net/{'/'.join('abcdefghijklmnopqrst')}?bad=1" for k in range(40)] + [f"http://c{k}.org/fr/x" for k in range(60)]
+    urls += ["http://unlisted.com/?bad=2", "http://plain.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r for r in urlfilter.filter_urls(pages).collect()}
+    deep = got["http://unlisted.com/?bad=2"]
+    assert (deep.verdict, deep.mined_rule is not None, deep.rule) == ("block", True, None)
+    assert got["http://plain.com/"].verdict == "allow"  # the prior: 60 of 100
+    monkeypatch.setattr(urlfilter, "BASKET", 3)
+    few, raised, _ = urlfilter.baskets_of(df.where("verdict IS NOT NULL"), 0.05)
+    assert raised > 0.05 and few.agg(F.max(F.size("items"))).first()[0] <= 4
+
+
 def test_mined_rules_match_brute_force():
     rng = random.Random(3)
     rules = [urlfilter.MinedRule(frozenset(rng.sample("abcdef", rng.randint(1, 3))), rng.choice(["allow", "block"]), rng.random(), 0.1) for _ in range(40)]
