@@ -1,12 +1,16 @@
 """The corpus pipeline against a brute-force version, stage by stage."""
 
+import hashlib
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skerry.llm import mixing, neardup, quality
+from skerry.llm import neardup, quality
 
 WORDS = "the of and ver dan la il to a be sun sea".split()
 
@@ -39,12 +43,66 @@ def test_pipeline(spark, tmp_path):
     assert kept["quality classifier"] == sorted([*good, *range(500, 505)])
     assert kept["SimHash near-dedup"] == good
     assert kept["benchmark decontamination"] == [k for k in good if k != good[1]]
-    want = mixing.mix(docs).count()
+    # Mixing by hand: sources of the documents left weigh the same.
+    left = [r for r in rows if r[0] in set(kept["benchmark decontamination"])]
+    size = {}
+    for _, text, _, source, _ in left:
+        size[source] = size.get(source, 0) + len(text.encode()) + 1
+    copies = {}
+    for k, _, _, source, _ in left:
+        rate = sum(size.values()) / len(size) / size[source]
+        u = int(hashlib.md5(f"7:{k}".encode()).hexdigest()[:13], 16) / 2**52
+        n, c = 0, math.exp(-rate)
+        while c <= u:
+            n += 1
+            c += math.exp(-rate + n * math.log(rate) - math.lgamma(n + 1))
+        copies[k] = n
+    texts, sources = {k: t for k, t, *_ in rows}, {k: s for k, _, _, s, _ in rows}
     final = corpus_pipeline.run(spark, folder).collect()
-    assert len(final) == want and {r.doc_id for r in final} <= set(good)
+    assert Counter(r.doc_id for r in final) == Counter({k: n for k, n in copies.items() if n})
+    # Shards: gapless slots, whole rows, near equal bytes, copies apart.
+    shards = {}
+    for r in final:
+        assert (r.text, r.source, r.lang) == (texts[r.doc_id], sources[r.doc_id], "en")
+        assert (r["size"], r.text_crc32) == (len(r.text.encode()) + 8, zlib.crc32(r.text.encode()))
+        shards.setdefault(r.shard, []).append(r)
+    for rows_ in shards.values():
+        assert sorted(r.slot for r in rows_) == list(range(len(rows_)))
+    mean = sum(r["size"] for r in final) / 24
+    assert set(shards) <= set(range(24)) and max(sum(r["size"] for r in x) for x in shards.values()) < 2 * mean
+    pairs = [(r.doc_id, r.shard) for r in final if copies[r.doc_id] > 1]
+    assert len(set(pairs)) > 0.8 * len(pairs)
     assert len(quality.FEATURES) == len(quality.features(b""))
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables in every stage."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, copies string, row int, slot string"
+    extra = ("own", "mine", 3, "old")
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(30)), "en", f"s{k % 2}", 1, *extra) for k in range(30)]
+    rows += [(None, "null id the of and", None, None, None, *extra), (40, None, "en", "s0", 0, *extra), (41, "", "en", "s0", 0, *extra)]
+    rows += [(42, "long " * 200_000, "en", "s1", 1, *extra), rows[3], rows[3]]
+    folder = str(tmp_path)
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, rows[5][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    whole = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, whole, folder)
+        got = out.collect()
+        if name == "sharding":
+            assert set(whole.columns) - {"slot"} < set(out.columns) and len(got) == len(rows)
+        else:
+            assert out.columns == whole.columns
+            assert {(r.score, r.copies, r.row, r.slot) for r in got} == {extra}
+            assert {r.doc_id for r in got} <= {r[0] for r in rows}
+        if name == "SimHash near-dedup":
+            ids = [r.doc_id for r in got]
+            assert ids.count(3) == 1 and 42 in ids and (40 in ids) and 41 not in ids and None in ids
+        if name == "benchmark decontamination":
+            assert 5 not in [r.doc_id for r in got] and len(got) < len(rows)
+        assert stage(spark, whole.where(F.lit(False)), folder).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [neardup.BUCKET, 3])
 def test_near_copies(spark, bucket, monkeypatch):
     """Planted near copies against all pairs, also through crowded buckets."""
