@@ -250,16 +250,17 @@ def components(edges: DataFrame) -> DataFrame:
         last = found
         # Large star: larger neighbours of a node move to its smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = common.cut(large.where("u > v").distinct())
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         old, path = path, common.shared_dir(spark)
         now = common.cut(small, path)
         common.drop_folder(spark, old)
+        common.drop_tables(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
