@@ -242,12 +242,14 @@ def components(edges: DataFrame) -> DataFrame:
     path = common.shared_dir(spark)
     now = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"), path)
 
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    last = None
-    while (found := state(now)) != last:
-        last = found
+    def stars(df) -> bool:
+        """Whether every node has one smaller neighbour, which has none itself."""
+        low = df.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high"))
+        high = df.select(F.col("v").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high"))
+        marks = low.unionByName(high).groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+        return not marks.where("low + high > 1 AND low > 0").limit(1).count()
+
+    while not stars(now):
         # Large star: larger neighbours of a node move to its smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
