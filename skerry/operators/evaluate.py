@@ -23,6 +23,9 @@ def average_precision(
     alone, and ``totals`` ``(topic_id, relevant)`` all topics with the divisor.
     """
     extra = extra or []
+    if extra:
+        # Read twice: for its settings and for its hits.
+        run = settle(run.where(F.col("rank") <= k).select(*extra, "topic_id", "doc_id", "rank"))
     good = qrels.where(F.col("rel") > 0).select("topic_id", "doc_id").distinct()
     total = good.groupBy("topic_id").agg(F.count("*").alias("relevant"))
     hits = run.where(F.col("rank") <= k).join(good, ["topic_id", "doc_id"], "left_semi")

@@ -25,36 +25,18 @@ STOPWORDS = (
 ).split()
 
 Feature = Callable[[DataFrame], DataFrame]
-FEATURES: dict[str, Feature] = {}
-
-
-def feature(name: str) -> Callable[[Feature], Feature]:
-    """Register a feature; names are unique."""
-
-    def add(function: Feature) -> Feature:
-        if name in FEATURES:
-            raise ValueError(f"feature {name!r} exists")
-        FEATURES[name] = function
-        return function
-
-    return add
-
-
 def _value(members: DataFrame, value) -> DataFrame:
     return members.groupBy(*CLUSTER).agg(value.alias("value"))
 
 
-@feature("qdep_rr_cluster_passages_max")
 def passage_rank(members: DataFrame) -> DataFrame:
     return _value(members, F.max(reciprocal(F.col("p_rank"))))
 
 
-@feature("qdep_rr_cluster_docs_max")
 def document_rank(members: DataFrame) -> DataFrame:
     return _value(members, F.max(reciprocal(F.col("doc_rank"))))
 
 
-@feature("prior_term_entropy")
 def term_entropy(members: DataFrame) -> DataFrame:
     """Natural-log entropy of the tokens that aren't stop words."""
     terms = members.select(*CLUSTER, F.explode(fx.tokenize(F.col("content"))).alias("term"))
@@ -66,15 +48,13 @@ def term_entropy(members: DataFrame) -> DataFrame:
     return members.select(*CLUSTER).distinct().join(entropy, CLUSTER, "left").fillna(0.0, ["value"])
 
 
-@feature("prior_stopword_ratio")
 def stopword_ratio(members: DataFrame) -> DataFrame:
     words = members.select(*CLUSTER, fx.tokenize(F.col("content")).alias("words"))
     stop = F.size(F.filter("words", lambda w: w.isin(STOPWORDS)))
     return _value(words, F.coalesce(F.sum(stop) / F.nullif(F.sum(F.size("words")), F.lit(0)), F.lit(0.0)))
 
 
-@feature("prior_intra_similarity_mean")
-def intra_similarity(members: DataFrame, max_pairs: int = 50) -> DataFrame:
+def intra_similarity(members: DataFrame, max_pairs: int = 2000) -> DataFrame:
     """Mean cosine of the first ``max_pairs`` pairs in member order; vectors
     are fitted on the cluster alone."""
     items = members.select(*CLUSTER, F.col("pos").alias("i"), "content")
@@ -88,19 +68,31 @@ def intra_similarity(members: DataFrame, max_pairs: int = 50) -> DataFrame:
     return size.join(used, CLUSTER, "left").select(*CLUSTER, mean.alias("value"))
 
 
-@feature("prior_unique_docs")
 def unique_docs(members: DataFrame) -> DataFrame:
     return _value(members, F.count_distinct("doc_id").cast("double"))
 
 
-def compute(members: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """One column per feature, to six places; unknown names are errors."""
+#: Name in learning files and models -> feature.
+FEATURES: dict[str, Feature] = {
+    "prior_intra_similarity_mean": intra_similarity,
+    "prior_stopword_ratio": stopword_ratio,
+    "prior_term_entropy": term_entropy,
+    "prior_unique_docs": unique_docs,
+    "qdep_rr_cluster_docs_max": document_rank,
+    "qdep_rr_cluster_passages_max": passage_rank,
+}
+
+
+def compute(members: DataFrame, names: Iterable[str] | None = None, max_pairs: int = 2000) -> DataFrame:
+    """One column per feature, to six places; unknown names are errors.
+    ``max_pairs`` goes to :func:`intra_similarity`."""
     names = sorted(FEATURES) if names is None else list(names)
     unknown = [n for n in names if n not in FEATURES]
     if unknown:
         raise ValueError(f"unknown features {unknown}")
     out = members.select(*CLUSTER).distinct()
     for name in names:
-        values = FEATURES[name](members).select(*CLUSTER, place(F.col("value")).alias(name))
+        options = {"max_pairs": max_pairs} if FEATURES[name] is intra_similarity else {}
+        values = FEATURES[name](members, **options).select(*CLUSTER, place(F.col("value")).alias(name))
         out = out.join(values, CLUSTER, "left")
     return out.fillna(0.0, list(names))

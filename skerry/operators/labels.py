@@ -95,8 +95,3 @@ def document_instances(
     summed = pairs.groupBy("topic_id", "doc_id").agg(*(place_again(of(n)).alias(n) for n in names))
     out = candidates.select("topic_id", "doc_id").join(summed, ["topic_id", "doc_id"], "left").fillna(0.0, names)
     return _judged(out, qrels, threshold).withColumn("label", F.col("hit").cast("int")).drop("hit")
-
-
-def numbered(members: DataFrame) -> DataFrame:
-    """Members with the size of their cluster."""
-    return members.withColumn("n", F.count("*").over(Window.partitionBy(*CLUSTER)))

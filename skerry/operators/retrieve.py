@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -60,10 +60,8 @@ def search(
         # Log likelihoods are negative: feedback documents are weighted by
         # their likelihood relative to the best one.
         first = scoring.qld_scores(terms, index, mu)
-        best = first.groupBy("topic_id").agg(F.max("score").alias("best"))
-        shifted = first.join(best, "topic_id").select(
-            "topic_id", "doc_id", F.exp(F.col("score") - F.col("best")).alias("score")
-        )
+        best = F.max("score").over(Window.partitionBy("topic_id"))
+        shifted = first.select("topic_id", "doc_id", F.exp(F.col("score") - best).alias("score"))
         scores = scoring.qld_scores(settle(scoring.rm3_terms(terms, index, shifted, **(rm3 or {}))), index, mu)
     return ranked(scores, ["topic_id"], by_score("doc_id"), top=topk)
 

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query-sized sets that the driver may hold.
-BROADCAST_ROWS = 50_000
-
 _OWN: dict[str, str] = {}
 
 
@@ -21,7 +18,8 @@ def settle(df: DataFrame) -> DataFrame:
     small, a lost executor doesn't bring back the work before, and Spark
     knows the table's exact size: it broadcasts the table by itself if that is
     below its threshold, and shuffles it otherwise. The folder is
-    ``spark.checkpoint.dir``; only where that is unset a local one is used.
+    ``spark.checkpoint.dir``; only on a single machine a local one is used
+    where that is unset.
     Streams are returned as they are.
     """
     if df.isStreaming:
@@ -29,6 +27,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='skerry-')}")
     path = f"{base.rstrip('/')}/skerry-{uuid.uuid4().hex}"
     df.write.parquet(path)

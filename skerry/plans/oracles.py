@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.features import STOPWORDS
+
 W = r"'[\p{L}\p{N}_]+'"
-STOP = (
-    "'a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or',"
-    "'such','that','the','their','then','there','these','they','this','to','was','will','with'"
-)
+STOP = ",".join(f"'{w}'" for w in STOPWORDS)
 
 CTES = {
     "topics": f"SELECT item_id AS topic_id, array_to_string(list_slice(regexp_extract_all(lower(text), {W}), 1, 4), ' ') AS text FROM benchmark",

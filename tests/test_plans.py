@@ -148,3 +148,63 @@ def test_passage_feedback(spark):
         with pytest.raises(ValueError):
             passages.rank_passages(rows, topics, model="rm3", rm3=bad)
     assert passages.rank_passages(rows.where("false"), topics, model="rm3").count() == 0
+
+
+def test_short_items_are_judged(spark):
+    from skerry.operators import judge
+
+    texts = ["say hello world now", "hello", "", None, "a é b", "worlds apart; hello worlds"]
+    items = ["hello world", "hello", "", None, "é", "lo", "say hello world now", "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "topic_id long, text string")
+    got = {(r.topic_id, r.doc_id) for r in judge.containing(asked, docs).collect()}
+    assert got == {(t, d) for t, i in enumerate(items) for d, x in enumerate(texts) if i is not None and x is not None and i in x}
+
+
+def test_folds_and_negatives(spark):
+    from skerry.operators import evaluate
+
+    topics = spark.createDataFrame([(k,) for k in range(11)], "topic_id long")
+    folds = {r.topic_id: r.fold for r in evaluate.topic_folds(topics, 3).collect()}
+    sizes = [list(folds.values()).count(k) for k in range(3)]
+    assert set(folds) == set(range(11)) and sorted(sizes) == [3, 4, 4]
+    assert folds == {r.topic_id: r.fold for r in evaluate.topic_folds(topics, 3).collect()}
+    hits = spark.createDataFrame([(t, d, d) for t in (1, 2) for d in range(5)], "topic_id long, doc_id long, rank long")
+    qrels = spark.createDataFrame([(1, 0, 1), (1, 9, 1), (2, 1, 0), (2, 2, 2)], "topic_id long, doc_id long, rel int")
+    rows = [tuple(r) for r in evaluate.training_pairs(hits, qrels, negatives=3).collect()]
+    assert sorted(r[:2] for r in rows if r[2] == 1) == [(1, 0), (1, 9), (2, 2)]
+    negative = [r[:2] for r in rows if r[2] == 0]
+    assert len(negative) == 9 and {d for t, d in negative if t == 1} <= {1, 2, 3, 4} and {d for t, d in negative if t == 2} <= {0, 1, 3, 4}
+
+
+def test_linear_svc_separates(spark):
+    from skerry.operators import ltr
+
+    rows = [(k, int(k % 3 == 0), float(k % 3 == 0) * 2 + (k % 7) / 10, float(k % 5)) for k in range(120)]
+    data = spark.createDataFrame(rows, "topic_id long, label int, near double, far double")
+    model = ltr.train_linear_svc(data, ["far", "near"])
+    scored = model.score(data).join(data.select("topic_id", "label"), "topic_id").collect()
+    assert all((r.score > 0) == (r.label == 1) for r in scored)
+
+
+def test_files_of_ids_and_vectors(spark, tmp_path):
+    from skerry.sources import files
+
+    path = tmp_path / "ids.txt"
+    path.write_text("a\n\n b \n")
+    assert sorted(r.doc_id for r in files.read_ids(spark, str(path)).collect()) == ["a", "b"]
+    assert files.count_lines(spark, str(path)) in (2, 3)
+    assert len(files.file_hashes(spark, str(path)).first().sha256) == 64
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert files.cached(spark, str(tmp_path), "three", make).count() == 3
+    assert made == [1]
+    good = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "doc_id string, embedding array<double>")
+    assert files.check_embeddings(good).count() == 2
+    with pytest.raises(ValueError):
+        files.check_embeddings(good.unionByName(good))
