@@ -166,3 +166,56 @@ def rank_passages(
         "bm25", "gain", "rest", "weights", "dl"
     )
     return ranked(out, by, by_score("doc_id", "p_idx"), "p_rank", topk)
+
+
+def rank_candidates(
+    candidates: DataFrame,
+    passages: DataFrame,
+    topics: DataFrame,
+    *,
+    model: str = "bm25",
+    topk: int = 200,
+    k1: float = 0.9,
+    b: float = 0.4,
+    rm3: dict | None = None,
+) -> DataFrame:
+    """:func:`rank_passages` over the passages ``(doc_id, p_idx, content)`` of
+    each topic's ``candidates``.
+
+    BM25, with or without feedback, tokenises a passage once instead of once
+    per topic that retrieved its document; contents join the ranked passages
+    alone. Other models rank all contents of a topic.
+    """
+    kind = MODELS.get(model.lower())
+    if kind not in ("bm25", "bm25+rm3"):
+        return rank_passages(of_candidates(candidates, passages), topics, model=model, topk=topk, k1=k1, b=b)
+    scoring.check_bm25(k1, b)
+    by, key = ["topic_id"], ["topic_id", "doc_id", "p_idx"]
+    asked = candidates.select("topic_id", "doc_id", F.col("rank").alias("doc_rank"))
+    words = passages.withColumn("words", fx.tokenize(F.col("content")))
+    counted = words.withColumn("dl", F.size("words")).withColumn("counts", fx.term_counts(F.col("words")))
+    counted = settle(counted.drop("words"))
+    sizes = counted.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    stats = asked.join(sizes, "doc_id").groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    stats = settle(stats.select(*by, "n", (F.col("total") / F.col("n")).alias("avgdl")))
+
+    def ranking(terms: DataFrame, top: int) -> DataFrame:
+        postings = counted.select("doc_id", "p_idx", "dl", F.inline("counts")).join(terms, "term")
+        hits = settle(postings.join(asked.select("topic_id", "doc_id"), ["topic_id", "doc_id"]))
+        frequency = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
+        part = scoring.bm25_part(
+            F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), F.lit(k1), F.lit(b)
+        )
+        scored = hits.join(frequency, [*by, "term"]).join(stats, by)
+        scored = scored.groupBy(*key).agg(place(F.sum(F.col("weight") * part)).alias("score"))
+        best = settle(ranked(scored, by, by_score("doc_id", "p_idx"), "p_rank", top))
+        return best.join(counted.select("doc_id", "p_idx", "content"), ["doc_id", "p_idx"]).join(
+            asked, ["topic_id", "doc_id"]
+        )
+
+    if kind == "bm25":
+        return ranking(settle(query_terms(topics)), topk)
+    feedback = {**RM3, **(rm3 or {})}
+    original = unit_terms(topics)
+    first = settle(ranking(original, feedback["fb_docs"]))
+    return ranking(settle(feedback_terms(first, original, by, **feedback)), topk)

@@ -34,11 +34,8 @@ from ..operators.tables import settle, spread
 from ..sources import files
 from . import oracles, retrieval, sweep
 
-#: Depths of the queries; small, so that the oracle can follow.
-CANDIDATES = 20
-PASSAGES = 30
-THRESHOLD = 0.2
-CLUSTER_SIZE = 5
+#: The documented depths: the clustered plan's and the dense plan's defaults.
+PLAN, DENSE = oracles.PLAN, oracles.DENSE
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = oracles.ORACLES
@@ -85,25 +82,40 @@ class Tables:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return settle(self.run(CANDIDATES))
+        return settle(self.run(PLAN.candidates))
 
     @cached_property
     def passages(self) -> DataFrame:
         return passages.extract(self.docs)
 
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return self.candidates.where(F.col("rank") <= PLAN.content_topk)
+
+    @cached_property
+    def wanted_passages(self) -> DataFrame:
+        texts = self.docs.join(self.wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        return passages.extract(texts)
+
     @cached_property
     def topic_passages(self) -> DataFrame:
-        wanted = self.candidates.select("doc_id").distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi")
-        return settle(passages.of_candidates(self.candidates, passages.extract(texts)))
+        return settle(passages.of_candidates(self.wanted, self.wanted_passages))
+
+    @cached_property
+    def judged_passages(self) -> DataFrame:
+        """Passages of each topic's relevant candidates, ranked within their document."""
+        judged = settle(self.wanted.join(self.qrels.where("rel >= 1"), ["topic_id", "doc_id"], "left_semi"))
+        texts = self.docs.join(judged.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = passages.of_candidates(judged, passages.extract(texts))
+        return settle(passages.rank_passages(found, self.topics, topk=10, stats_by=["topic_id", "doc_id"]))
 
     @cached_property
     def best(self) -> DataFrame:
-        return settle(passages.rank_passages(self.topic_passages, self.topics, topk=PASSAGES))
+        return settle(passages.rank_candidates(self.wanted, self.wanted_passages, self.topics, topk=PLAN.passages))
 
     @cached_property
     def members(self) -> DataFrame:
-        return settle(retrieval.cluster_members(self.best, THRESHOLD, CLUSTER_SIZE))
+        return settle(retrieval.cluster_members(self.best, PLAN.threshold, PLAN.cluster_size))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -354,20 +366,19 @@ def passage_bm25(t):
 
 @query
 def passage_rm3(t):
-    found = passages.rank_passages(t.topic_passages, t.topics, model="bm25+rm3", topk=PASSAGES)
+    found = passages.rank_candidates(t.wanted, t.wanted_passages, t.topics, model="bm25+rm3", topk=PLAN.passages)
     return found.select("topic_id", "doc_id", "p_idx", "score", "p_rank")
 
 
 @query
 def passage_qld(t):
-    found = passages.rank_passages(t.topic_passages, t.topics, model="qld", topk=PASSAGES, matching_only=False)
+    found = passages.rank_passages(t.topic_passages, t.topics, model="qld", topk=PLAN.passages, matching_only=False)
     return found.select("topic_id", "doc_id", "p_idx", "score", "p_rank")
 
 
 @query
 def passage_pseudo_topk(t):
-    own = passages.rank_passages(t.topic_passages, t.topics, topk=10, stats_by=["topic_id", "doc_id"])
-    return labels.pseudo_relevant(own, t.qrels, 2).select("topic_id", "doc_id", "p_idx", "score", "p_rank")
+    return labels.pseudo_relevant(t.judged_passages, t.qrels, 2).select("topic_id", "doc_id", "p_idx", "score", "p_rank")
 
 
 # Vectors, pairs and clusters ------------------------------------------------------------
@@ -458,8 +469,7 @@ def cluster_labels_best(t):
 
 @query
 def cluster_labels_pseudo(t):
-    own = passages.rank_passages(t.topic_passages, t.topics, topk=10, stats_by=["topic_id", "doc_id"])
-    chosen = labels.pseudo_relevant(own, t.qrels, 2).select("topic_id", "doc_id", "p_idx")
+    chosen = labels.pseudo_relevant(t.judged_passages, t.qrels, 2).select("topic_id", "doc_id", "p_idx")
     marked = t.best.join(chosen, ["topic_id", "doc_id", "p_idx"], "left_semi").select("topic_id", "p_rank")
     return labels.cluster_labels(t.members, t.qrels, "pseudo", high=2, low=1, pseudo=marked)
 
@@ -577,16 +587,13 @@ def adaptive_fusion(t):
 
 @query
 def head_tail(t):
-    return fuse.head_tail(t.fused, 10, 15)
+    return fuse.head_tail(t.fused, PLAN.rerank_topn, PLAN.topk)
 
 
 @query
 def clustered_run(t):
     """The whole clustered plan with feedback and seed scores."""
-    from .config import ClusterConfig
-
-    config = ClusterConfig(candidates=CANDIDATES, content_topk=CANDIDATES, passages=PASSAGES, rerank_topn=10, topk=15)
-    return retrieval.clustered(t.topics, t.docs, config)
+    return retrieval.clustered(t.topics, t.docs, PLAN)
 
 
 # Dense --------------------------------------------------------------------------------------
@@ -609,10 +616,7 @@ def dense_l2(t):
 
 @query
 def two_stage_blend(t):
-    from .config import DenseConfig
-
-    config = DenseConfig(depth=50, rerank=True, rerank_topn=10, alpha=0.3, topk=20)
-    return retrieval.two_stage(t.dense_queries, t.vectors, t.docs, config)
+    return retrieval.two_stage(t.dense_queries, t.vectors, t.docs, DENSE)
 
 
 @query

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from ..operators.features import STOPWORDS
+from .config import ClusterConfig, DenseConfig
+
+PLAN, DENSE = ClusterConfig(), DenseConfig(rerank=True, alpha=0.3)
 
 W = r"'[\p{L}\p{N}_]+'"
 STOP = ",".join(f"'{w}'" for w in STOPWORDS)
@@ -18,17 +21,17 @@ CTES = {
     "bm": "SELECT topic_id, doc_id, round(sum(weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL",
     "qlr": "SELECT topic_id, sum(weight * ln(1000e0 * coalesce(cf / total, 1e-12))) AS rest, sum(weight) AS ws FROM qt LEFT JOIN df USING (term), st GROUP BY ALL",
     "ql": "SELECT topic_id, doc_id, round(sum(weight * ln(1e0 + tf / (1000e0 * cf / total))) + any_value(rest) - any_value(ws) * ln(any_value(dl) + 1000e0), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) JOIN qlr USING (topic_id), st GROUP BY topic_id, doc_id",
-    "cand": "SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20",
+    "cand": f"SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {PLAN.candidates}",
     "qrels": "SELECT item_id AS topic_id, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "sent": r"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents",
     "psg": "SELECT doc_id, CAST(w AS INTEGER) AS p_idx, array_to_string(list_slice(s, w * 8 + 1, w * 8 + 10), ' ') AS content FROM sent, unnest(range(0, 1 + greatest(0, CAST(ceil((len(s) - 10) / 8e0) AS BIGINT)))) AS x(w) WHERE len(list_slice(s, w * 8 + 1, w * 8 + 10)) >= 3",
-    "tp": "SELECT topic_id, doc_id, p_idx, content, rank AS doc_rank FROM cand JOIN psg USING (doc_id)",
+    "tp": f"SELECT topic_id, doc_id, p_idx, content, rank AS doc_rank FROM cand JOIN psg USING (doc_id) WHERE rank <= {PLAN.content_topk}",
     "pw": f"SELECT topic_id, doc_id, p_idx, regexp_extract_all(lower(content), {W}) AS words FROM tp",
     "ps": "SELECT topic_id, count(*) AS n, avg(len(words)) AS avgdl, sum(len(words)) AS total FROM pw GROUP BY ALL",
     "ph": "SELECT topic_id, doc_id, p_idx, term, weight, dl, count(*) AS tf FROM (SELECT topic_id, doc_id, p_idx, len(words) AS dl, unnest(words) AS term FROM pw) JOIN qt USING (topic_id, term) GROUP BY ALL",
     "pdf": "SELECT topic_id, term, count(*) AS df, sum(tf) AS cf FROM ph GROUP BY ALL",
     "pb": "SELECT topic_id, doc_id, p_idx, round(sum(weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 1.9e0 / (tf + 0.9e0 * (0.6e0 + 0.4e0 * dl / avgdl))), 6) AS score FROM ph JOIN pdf USING (topic_id, term) JOIN ps USING (topic_id) GROUP BY topic_id, doc_id, p_idx",
-    "best": "SELECT topic_id, doc_id, p_idx, content, doc_rank, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS p_rank FROM pb JOIN tp USING (topic_id, doc_id, p_idx) QUALIFY p_rank <= 30",
+    "best": f"SELECT topic_id, doc_id, p_idx, content, doc_rank, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS p_rank FROM pb JOIN tp USING (topic_id, doc_id, p_idx) QUALIFY p_rank <= {PLAN.passages}",
     # TF-IDF cosine clusters of the ranked passages.
     "btf": f"SELECT topic_id, p_rank AS i, term, count(*) AS tf FROM (SELECT topic_id, p_rank, unnest(regexp_extract_all(lower(content), {W})) AS term FROM best) GROUP BY ALL",
     "bn": "SELECT topic_id, count(*) AS n FROM best GROUP BY ALL",
@@ -232,12 +235,12 @@ _PLAIN = {
     "per_doc_first_k": "SELECT topic_id, doc_id, p_idx FROM tp QUALIFY row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY p_idx) <= 2",
     "per_doc_overlap": "SELECT topic_id, doc_id, p_idx, CAST(len(list_filter(words, lambda w: list_contains(qs, w))) AS INTEGER) AS overlap FROM pw JOIN (SELECT topic_id, list(term) AS qs FROM qt GROUP BY ALL) USING (topic_id) QUALIFY row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY overlap DESC, p_idx) <= 2",
     "passage_bm25": "SELECT topic_id, doc_id, p_idx, score, CAST(p_rank AS INTEGER) AS p_rank FROM best",
-    "passage_rm3": "SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM pb2 QUALIFY p_rank <= 30",
-    "passage_qld": """SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM (
+    "passage_rm3": f"SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM pb2 QUALIFY p_rank <= {PLAN.passages}",
+    "passage_qld": f"""SELECT topic_id, doc_id, p_idx, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id, p_idx) AS INTEGER) AS p_rank FROM (
   SELECT pw.topic_id, pw.doc_id, pw.p_idx, round(CASE WHEN len(any_value(words)) = 0 THEN 0e0 ELSE sum(qt.weight * ln((coalesce(tf, 0) + 1000e0 * CASE WHEN coalesce(cf, 0) > 0 THEN cf / total ELSE 1e-12 END) / (len(words) + 1000e0))) END, 6) AS score
   FROM pw JOIN qt USING (topic_id) JOIN ps USING (topic_id) LEFT JOIN pdf ON pdf.topic_id = pw.topic_id AND pdf.term = qt.term
   LEFT JOIN ph ON ph.topic_id = pw.topic_id AND ph.doc_id = pw.doc_id AND ph.p_idx = pw.p_idx AND ph.term = qt.term
-  GROUP BY pw.topic_id, pw.doc_id, pw.p_idx) QUALIFY p_rank <= 30""",
+  GROUP BY pw.topic_id, pw.doc_id, pw.p_idx) QUALIFY p_rank <= {PLAN.passages}""",
     "passage_pseudo_topk": "SELECT topic_id, doc_id, p_idx, score, CAST(p_rank AS INTEGER) AS p_rank FROM pseudo",
     "ngrams": f"SELECT topic_id, gram, count(*) AS n FROM (SELECT topic_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS gram FROM (SELECT topic_id, regexp_extract_all(lower(text), {W}) AS w FROM topics)) GROUP BY ALL",
     "tfidf_vectors": f"""SELECT topic_id, i, term, round(tf * (ln((n + 1e0) / (df + 1e0)) + 1e0), 6) AS w FROM (
@@ -277,16 +280,16 @@ FROM (SELECT doc_id, p_idx AS i, list_distinct(regexp_extract_all(lower(content)
     "rrf_docs": "SELECT topic_id, doc_id, round(sum(1e0 / (60 + new_rank)), 6) AS score FROM lifted WHERE new_rank <= 20 GROUP BY ALL",
     "rr_capped_docs": "SELECT topic_id, doc_id, round(passage_score, 6) AS passage_score, used FROM cap",
     "adaptive_fusion": "SELECT topic_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM fused",
-    "head_tail": "SELECT topic_id, doc_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 10 THEN round(1e0 / rank, 6) ELSE score END AS score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY (rank > 10), CASE WHEN rank <= 10 THEN -score END, rank) AS INTEGER) AS new_rank FROM fused QUALIFY new_rank <= 15",
+    "head_tail": f"SELECT topic_id, doc_id, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > {PLAN.rerank_topn} THEN round(1e0 / rank, 6) ELSE score END AS score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY (rank > {PLAN.rerank_topn}), CASE WHEN rank <= {PLAN.rerank_topn} THEN -score END, rank) AS INTEGER) AS new_rank FROM fused QUALIFY new_rank <= {PLAN.topk}",
     "dense_cosine": _dense("list_cosine_similarity(q, v)"),
     "dense_ip": _dense("list_inner_product(q, v)"),
     "dense_l2": _dense("-list_distance(q, v)"),
     "two_stage_blend": f"""SELECT topic_id, doc_id, score, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
-  SELECT topic_id, doc_id, round(CASE WHEN rank <= 10 THEN 0.3e0 * ce + 0.7e0 * dense ELSE dense END + 1e-9, 6) AS score FROM (
+  SELECT topic_id, doc_id, round(CASE WHEN rank <= {DENSE.rerank_topn} THEN {DENSE.alpha}e0 * ce + {1 - DENSE.alpha}e0 * dense ELSE dense END + 1e-9, 6) AS score FROM (
     SELECT query_id AS topic_id, vec_id AS doc_id, dense, rank, CASE WHEN len(qs) = 0 THEN 0e0 ELSE len(list_intersect(qs, ts)) / CAST(len(qs) AS DOUBLE) END AS ce FROM (
       SELECT d.*, list_distinct(regexp_extract_all(lower(qtext), {W})) AS qs, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {W})) AS ts FROM (
-        SELECT query_id, vec_id, qtext, round(list_cosine_similarity(q, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM dq, dv QUALIFY rank <= 50) d
-      LEFT JOIN documents ON doc_id = vec_id))) QUALIFY rank <= 20""",
+        SELECT query_id, vec_id, qtext, round(list_cosine_similarity(q, v), 6) AS dense, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, vec_id) AS rank FROM dq, dv QUALIFY rank <= {DENSE.depth}) d
+      LEFT JOIN documents ON doc_id = vec_id))) QUALIFY rank <= {DENSE.topk}""",
     "dense_grid_map": f"""SELECT depth, metric, rerank, rerank_topn, alpha, round(avg(ap), 6) AS map FROM (
   SELECT depth, metric, rerank, rerank_topn, alpha, query_id, round(coalesce(sum(CASE WHEN hit THEN so_far / CAST(r AS DOUBLE) END), 0) / any_value(relevant), 6) AS ap FROM (
     SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY depth, metric, rerank, rerank_topn, alpha, query_id ORDER BY r) AS so_far FROM (

@@ -40,14 +40,13 @@ def clustered_tables(topics: DataFrame, docs: DataFrame, config: ClusterConfig |
     )
     wanted = candidates.where(F.col("rank") <= c.content_topk)
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = passages.of_candidates(wanted, passages.extract(texts, c.window, c.least, c.overlap))
-    if c.per_doc is not None:
-        found = passages.best_overlap(found, topics, c.per_doc)
-    best = settle(
-        passages.rank_passages(
-            found, topics, model=c.passage_model, topk=c.passages, k1=c.passage_k1, b=c.passage_b, rm3=c.passage_rm3
-        )
-    )
+    found = passages.extract(texts, c.window, c.least, c.overlap)
+    options = {"model": c.passage_model, "topk": c.passages, "k1": c.passage_k1, "b": c.passage_b, "rm3": c.passage_rm3}
+    if c.per_doc is None:
+        best = settle(passages.rank_candidates(wanted, found, topics, **options))
+    else:
+        found = passages.best_overlap(passages.of_candidates(wanted, found), topics, c.per_doc)
+        best = settle(passages.rank_passages(found, topics, **options))
     return Clustered(candidates, best, settle(cluster_members(best, c.threshold, c.cluster_size)))
 
 
