@@ -133,3 +133,19 @@ def test_near_copies(spark, bucket, monkeypatch):
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == sorted(set(first)) and pairs > 400 and len(got) < 120
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets():
+    """Digests and sketches never exclude a pair that is similar enough."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 60, 130, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            new = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            b = np.unique(np.concatenate([a[len(new) :], new]))
+            apart = len(np.setxor1d(a, b))
+            assert sum(int(x).bit_count() for x in neardup.digest(a) ^ neardup.digest(b)) <= apart
+            if len(neardup.sketch(a)) == len(neardup.sketch(b)):
+                assert sum(int(x).bit_count() for x in neardup.sketch(a) ^ neardup.sketch(b)) <= apart
