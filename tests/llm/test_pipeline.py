@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,60 @@ def test_parities_differ_in_no_more_bits_than_the_sets():
             assert sum(int(x).bit_count() for x in neardup.digest(a) ^ neardup.digest(b)) <= apart
             if len(neardup.sketch(a)) == len(neardup.sketch(b)):
                 assert sum(int(x).bit_count() for x in neardup.sketch(a) ^ neardup.sketch(b)) <= apart
+
+
+def near_copies(spark, seed, n, words, changes):
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(words)]
+    rows = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(1, changes)):
+            copy[rng.randrange(words)] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    others = [" ".join(f"o{rng.randrange(10**6)}" for _ in range(words)) for _ in range(n)]
+    return spark.createDataFrame(list(enumerate(rows + others)), "doc_id long, text string")
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """The search of SimHash fingerprints alone, without any prefix."""
+    monkeypatch.setattr(neardup, "prefix", lambda values, frequent, s: values[:0])
+    for n in (20, 120):  # paired off, and a crowded bucket
+        docs = near_copies(spark, n, n, 300, 2)
+        got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+        assert got == [0, *range(n, 2 * n)]
+
+
+def test_fingerprint_pairs(spark):
+    """All pairs within the radius that pigeonhole covers, none beyond the other."""
+    rng = random.Random(4)
+    prints = [rng.getrandbits(128) for _ in range(200)]
+    for k in range(100):
+        prints.append(prints[k] ^ sum(1 << b for b in rng.sample(range(128), k % 45)))
+    rows = [(k, [int.from_bytes((p >> 64 * j & 2**64 - 1).to_bytes(8), signed=True) for j in range(2)]) for k, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "fp long, print array<long>")
+    s = Fraction("0.8")
+    covered = sum(3 * len(groups) for groups in neardup.partitions(len(rows), nodes)) - 1
+    found = {tuple(r) for pairs in neardup.simhash_pairs(nodes, s, 32) for r in pairs.collect()}
+    apart = {(i, j): (prints[i] ^ prints[j]).bit_count() for j in range(len(prints)) for i in range(j)}
+    assert {p for p, bits in apart.items() if bits <= min(covered, neardup.radius(s))} <= found
+    assert max(apart[p] for p in found) <= neardup.radius(s) < 45 and covered >= 17 and len(found) > 60
+
+
+def test_crowded_buckets_emit_a_pair_once(spark, monkeypatch):
+    """However many shingles two texts of a crowded bucket share."""
+    emitted = []
+    likely = neardup._likely
+
+    def counted(pairs, nodes, s):
+        emitted.append((pairs.count(), pairs.distinct().count()))
+        return likely(pairs, nodes, s)
+
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(neardup, "by_simhash", lambda *args, **kwargs: none, raising=False)
+    monkeypatch.setattr(neardup, "_likely", counted)
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    docs = near_copies(spark, 5, 60, 100, 5)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+    assert 60 < left < 120 and len(emitted) > 1
+    assert all(rows == pairs for rows, pairs in emitted[1:]) and emitted[1][0] > 0
