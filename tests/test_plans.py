@@ -228,3 +228,15 @@ def test_lsh_hands_on_only_the_best(spark):
     dealt = dense.lsh_topk(v, q, 5, block_rows=7, shard_rows=128).collect()
     assert {(r.query_id, r.vec_id): r.score for r in dealt} == got
     assert dense.lsh_topk(v.where("id < 0"), q, 5).count() == 0
+
+
+def test_deep_search_deals_out_queries(spark, monkeypatch):
+    """Queries times depth bound what a worker holds."""
+    v = table(spark, 200)
+    want = dense.exact_topk(v, v.where("id % 10 = 0"), 50).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(dense, "RESULT_CELLS", 200)
+    blocks = []
+    shards = dense._search_shards
+    monkeypatch.setattr(dense, "_search_shards", lambda *a: blocks.append(a[3]) or shards(*a))
+    assert dense.exact_topk(v, v.where("id % 10 = 0"), 50).orderBy("query_id", "rank").collect() == want
+    assert blocks == [4]
