@@ -14,9 +14,21 @@ from .tables import by_score, ranked, settle
 
 def extract(docs: DataFrame, size: int = 10, least: int = 3, overlap: int = 2) -> DataFrame:
     """``(doc_id, p_idx, content)``; a document shorter than ``least`` sentences has none."""
+    found = F.posexplode(F.col("contents")).alias("p_idx", "content")
+    return contents(docs, size, least, overlap).select("doc_id", found)
+
+
+def contents(docs: DataFrame, size: int = 10, least: int = 3, overlap: int = 2) -> DataFrame:
+    """``(doc_id, contents)``: all passages of a document in its row."""
     sents = docs.where(F.length("text") > 0).select("doc_id", fx.sentences(F.col("text")).alias("s"))
-    found = F.posexplode(fx.passage_windows(F.col("s"), size, least, overlap)).alias("p_idx", "content")
-    return sents.where(F.size("s") > 0).select("doc_id", found)
+    found = fx.bound(F.col("s"), lambda s: fx.passage_windows(s, size, least, overlap))
+    return sents.where(F.size("s") > 0).select("doc_id", found.alias("contents"))
+
+
+def items(contents: DataFrame) -> DataFrame:
+    """``(doc_id, items)``: the tokens of each passage, ``array<struct<i, words>>``."""
+    each = F.transform("contents", lambda c, i: F.struct(i.alias("i"), fx.tokenize(c).alias("words")))
+    return contents.select("doc_id", each.alias("items"))
 
 
 def of_candidates(candidates: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -44,6 +44,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 32 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes, for rows that
+    hold whole texts. A plan reads the settings when it is run, so they stay
+    set for the session; smaller ones are left as they are."""
+    for name, bound in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", size),
+    ):
+        now = spark.conf.get(name).rstrip("b")  # "256MB" and the like are set anew
+        if not (now.isdigit() and 0 < int(now) <= bound):
+            spark.conf.set(name, str(bound))
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", top: int | None = None) -> DataFrame:
     """Rank from 1 inside the groups ``by``; with ``top`` only the first ones,
     which Spark limits per task before it shuffles."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.scores import place
 from ..functions.vectors import jaccard
+from . import pairs as in_rows
 from .tables import ranked
 
 VECTORIZERS = {
@@ -49,8 +50,8 @@ def tfidf(
     if min_df < 1 or not 0 < max_df <= 1 or (max_features is not None and max_features <= 0):
         raise ValueError("need min_df >= 1, 0 < max_df <= 1 and a positive max_features")
     n = items.groupBy(*group).agg(F.count("*").alias("n"))
-    grams = items.select(*group, "i", F.explode(fx.ngrams(fx.tokenize(F.col("content")), low, high)).alias("term"))
-    tf = grams.groupBy(*group, "i", "term").agg(F.count("*").alias("tf"))
+    grams = items.select(*group, "i", fx.ngrams(fx.tokenize(F.col("content")), low, high).alias("grams"))
+    tf = grams.select(*group, "i", F.inline(fx.term_counts(F.col("grams"))))
     # A group has a bounded number of items, and so has the window of a term.
     df = F.count("*").over(Window.partitionBy(*group, "term"))
     counted = tf.withColumn("df", df).join(n, group)
@@ -66,8 +67,7 @@ def tfidf(
 def unigram_lm(items: DataFrame, group: list[str]) -> DataFrame:
     """Share of an item's tokens per term."""
     words = items.select(*group, "i", fx.tokenize(F.col("content")).alias("words"))
-    terms = words.select(*group, "i", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    counted = terms.groupBy(*group, "i", "term", "dl").agg(F.count("*").alias("tf"))
+    counted = words.select(*group, "i", F.size("words").alias("dl"), F.inline(fx.term_counts(F.col("words"))))
     return counted.select(*group, "i", "term", (F.col("tf") / F.col("dl")).alias("w"))
 
 
@@ -171,6 +171,17 @@ def pair_similarities(items: DataFrame, group: list[str], vectorizer: str, simil
     return cosine_pairs(vectors, group) if measure == "cosine" else dot_pairs(vectors, group)
 
 
+def row_similarities(rows: DataFrame, key: str, vectorizer: str, similarity: str) -> DataFrame:
+    """As :func:`pair_similarities` for groups that are rows ``(key, items)``,
+    see :mod:`.pairs`: no shuffle, and no limit on the number of items."""
+    kind, measure = VECTORIZERS.get(vectorizer), SIMILARITIES.get(similarity)
+    if kind is None or measure is None:
+        raise ValueError(f"unknown vectorizer {vectorizer!r} or similarity {similarity!r}")
+    if (kind == "set") != (measure == "jaccard") or measure == "kl":
+        raise TypeError(f"{similarity!r} doesn't fit {vectorizer!r} vectors of rows")
+    return in_rows.pair_similarities(rows, key, kind, measure)
+
+
 def edges(pairs: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """Pairs from ``threshold`` on, with their order in the group."""
     if not -1 <= threshold <= 1:

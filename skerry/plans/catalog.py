@@ -142,6 +142,11 @@ class Tables:
         """Passages of every document, grouped by document."""
         return self.passages.select("doc_id", F.col("p_idx").alias("i"), "content")
 
+    @cached_property
+    def item_rows(self) -> DataFrame:
+        """The same in one row per document, as tokens."""
+        return passages.items(passages.contents(self.docs))
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -404,17 +409,17 @@ def lm_vectors(t):
 
 @query
 def cosine_pairs(t):
-    return vectorize.pair_similarities(t.items, ["doc_id"], "tfidf", "cosine")
+    return vectorize.row_similarities(t.item_rows, "doc_id", "tfidf", "cosine")
 
 
 @query
 def dot_pairs(t):
-    return vectorize.pair_similarities(t.items, ["doc_id"], "tfidf", "dot")
+    return vectorize.row_similarities(t.item_rows, "doc_id", "tfidf", "dot")
 
 
 @query
 def jaccard_pairs(t):
-    return vectorize.pair_similarities(t.items, ["doc_id"], "token_set", "jaccard")
+    return vectorize.row_similarities(t.item_rows, "doc_id", "token_set", "jaccard")
 
 
 @query
@@ -425,7 +430,7 @@ def kl_pairs(t):
 
 @query
 def similarity_edges(t):
-    pairs = vectorize.pair_similarities(t.items, ["doc_id"], "tfidf", "cosine")
+    pairs = vectorize.row_similarities(t.item_rows, "doc_id", "tfidf", "cosine")
     return vectorize.edges(pairs, ["doc_id"], 0.1)
 
 

@@ -240,3 +240,32 @@ def test_deep_search_deals_out_queries(spark, monkeypatch):
     monkeypatch.setattr(dense, "_search_shards", lambda *a: blocks.append(a[3]) or shards(*a))
     assert dense.exact_topk(v, v.where("id % 10 = 0"), 50).orderBy("query_id", "rank").collect() == want
     assert blocks == [4]
+
+
+def test_pairs_inside_rows(spark, monkeypatch):
+    """Pairs of a row's items, in small blocks, agree with the joined ones and need no shuffle."""
+    from pyspark.sql import functions as F
+
+    from skerry.functions import text as fx
+    from skerry.operators import pairs
+
+    rng = random.Random(5)
+    rows = [(d, i, " ".join(rng.choices("abcdefghijk", k=rng.randint(0, 7)))) for d in range(6) for i in range(1 + 4 * d)]
+    items = spark.createDataFrame(rows, "doc_id string, i int, content string")
+    each = F.struct("i", fx.tokenize(F.col("content")).alias("words"))
+    grouped = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(each)).alias("items")).localCheckpoint()
+    for cells, many in ((2_000_000, 512), (20, 3)):
+        monkeypatch.setattr(pairs, "BLOCK_CELLS", cells)
+        monkeypatch.setattr(pairs, "BLOCK_ITEMS", many)
+        for kind, measure in (("tfidf", "cosine"), ("tfidf", "dot"), ("lm", "dot"), ("token_set", "jaccard")):
+            found = vectorize.row_similarities(grouped, "doc_id", kind, measure)
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            want = {tuple(r)[:3]: r.sim for r in vectorize.pair_similarities(items, ["doc_id"], kind, measure).collect()}
+            got = {tuple(r)[:3]: r.sim for r in found.collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+            assert measure != "jaccard" or got == want
+    assert "Exchange" not in vectorize.unigram_lm(items, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    halfway = spark.createDataFrame([("h", [(0, ["a"]), (1, ["a", *map(str, range(127))])])], "doc_id string, items array<struct<i int, words array<string>>>")
+    assert vectorize.row_similarities(halfway, "doc_id", "token_set", "jaccard").first().sim == 0.007813  # 1 / 128
+    with pytest.raises(TypeError):
+        vectorize.row_similarities(grouped, "doc_id", "lm", "kl")
