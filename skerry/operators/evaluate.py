@@ -51,28 +51,14 @@ def mean_average_precision(
 
 
 def bm25_sweep(topics: DataFrame, index: Index, k1s: list[float], bs: list[float], topk: int) -> DataFrame:
-    """Runs of all (k1, b) settings in one plan: matches are computed once, and
-    each document's sums for all settings come from one aggregation, so no more
-    rows are shuffled than for one setting."""
-    for k1 in k1s:
-        for b in bs:
-            scoring.check_bm25(k1, b)
+    """Runs of all (k1, b) settings in one plan: matches are computed once, each
+    document's sums for all settings where its row is, and only the best
+    ``topk`` of a task are shuffled."""
     settings = [(k1, b) for k1 in k1s for b in bs]
-    rows = scoring.matches(settle(query_terms(topics)), index)
-
-    def total(k1: float, b: float) -> Column:
-        part = scoring.bm25_part(
-            F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"), F.lit(k1), F.lit(b)
-        )
-        return F.sum(F.col("weight") * part)
-
-    sums = rows.groupBy("topic_id", "doc_id").agg(*(total(*s).alias(f"s{n}") for n, s in enumerate(settings)))
-    each = F.array(
-        *(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{n}").alias("sum")) for n, (k1, b) in enumerate(settings))
-    )
-    scored = sums.select("topic_id", "doc_id", F.explode(each).alias("s"))
-    scored = scored.select("s.k1", "s.b", "topic_id", "doc_id", place(F.col("s.sum")).alias("score"))
-    return ranked(scored, ["k1", "b", "topic_id"], by_score("doc_id"), top=topk)
+    found = scoring.best_bm25(settle(query_terms(topics)), index, settings, topk)
+    of = F.array(*(F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1, b in settings))
+    placed = found.withColumn("s", F.element_at(of, F.col("setting") + 1))
+    return placed.select("s.k1", "s.b", "topic_id", "doc_id", "score", "rank")
 
 
 def best_settings(maps: DataFrame, params: list[str]) -> DataFrame:

@@ -48,22 +48,25 @@ def search(
     if kind is None:
         raise ValueError(f"unknown document model {model!r}")
     terms = settle(query_terms(topics))
-    if kind == "bm25":
-        scores = scoring.bm25_scores(terms, index, k1, b)
-    elif kind == "bm25+rm3":
-        scores = scoring.bm25_rm3_scores(terms, index, k1, b, **(rm3 or {}))
-    elif kind == "qld":
-        scores = scoring.qld_scores(terms, index, mu)
-    elif kind == "bm25+qld":
-        scores = scoring.mixed_scores(terms, index, alpha, k1, b, mu)
-    else:
+    feedback = rm3 or {}
+    fb_docs = feedback.get("fb_docs", 10)
+    if kind == "bm25+rm3":
+        # The first pass has the normalised query, so feedback weights don't depend on its length.
+        unit = settle(scoring.unit_terms(terms))
+        first = scoring.best_bm25(unit, index, [(k1, b)], max(1, fb_docs))
+        terms = settle(scoring.rm3_terms(unit, index, first, **feedback))
+    elif kind == "qld+rm3":
         # Log likelihoods are negative: feedback documents are weighted by
         # their likelihood relative to the best one.
-        first = scoring.qld_scores(terms, index, mu)
+        first = scoring.best_qld(terms, index, max(1, fb_docs), mu)
         best = F.max("score").over(Window.partitionBy("topic_id"))
         shifted = first.select("topic_id", "doc_id", F.exp(F.col("score") - best).alias("score"))
-        scores = scoring.qld_scores(settle(scoring.rm3_terms(terms, index, shifted, **(rm3 or {}))), index, mu)
-    return ranked(scores, ["topic_id"], by_score("doc_id"), top=topk)
+        terms = settle(scoring.rm3_terms(terms, index, shifted, **feedback))
+    if kind.startswith("bm25") and kind != "bm25+qld":
+        found = scoring.best_bm25(terms, index, [(k1, b)], topk)
+    else:
+        found = scoring.best_qld(terms, index, topk, mu, (alpha, k1, b) if kind == "bm25+qld" else None)
+    return found.select("topic_id", "doc_id", "score", "rank")
 
 
 def split_topics(topics: DataFrame, split: str, train: int = 50) -> DataFrame:

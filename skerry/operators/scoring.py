@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import place
+from . import best
 from .index import Index, background, document_frequency
 from .tables import by_score, ranked, settle
 
@@ -112,6 +113,73 @@ def mixed_scores(
     )
 
 
+def _bm25_query(terms: DataFrame, index: Index) -> best.Terms:
+    import numpy as np
+
+    rows = terms.join(document_frequency(index, terms.select("term").distinct()), "term").collect()  # topics x terms
+    stats = index.stats.first()
+    weight, df = (np.array([r[c] for r in rows], float) for c in ("weight", "df"))
+    gain = weight * np.log((stats["n_docs"] - df + 0.5) / (df + 0.5) + 1.0)
+    return best.Terms(rows, gain=gain, avgdl=np.full(len(rows), stats["avgdl"]))
+
+
+def best_bm25(terms: DataFrame, index: Index, settings: list[tuple[float, float]], topk: int) -> DataFrame:
+    """``(setting, topic_id, doc_id, score, rank)`` of the best ``topk``
+    documents for each ``(k1, b)``; see :mod:`.best`."""
+    for k1, b in settings:
+        check_bm25(k1, b)
+    query = _bm25_query(terms, index)
+    return best.best_rows(index.rows, ["doc_id"], terms, query, best.bm25_parts(settings), best.sums_only, topk, len(settings))
+
+
+def best_qld(terms: DataFrame, index: Index, topk: int, mu: float = 1000.0, mix: tuple | None = None) -> DataFrame:
+    """The same by query likelihood; ``mix`` is ``(alpha, k1, b)`` for
+    ``alpha * BM25 + (1 - alpha) * QLD`` of raw scores."""
+    import numpy as np
+
+    check_mu(mu)
+    seen = background(index, terms.select("term").distinct()).select("term", "cf", "p")
+    rows = terms.join(seen, "term", "left").collect()  # topics x terms
+    weight = np.array([r["weight"] for r in rows], float)
+    p = np.array([UNSEEN if r["p"] is None else r["p"] for r in rows], float)
+    rest: dict = {}
+    weights: dict = {}
+    for r, w, x in zip(rows, weight, p):
+        rest[r["topic_id"]] = rest.get(r["topic_id"], 0.0) + w * np.log(mu * x)
+        weights[r["topic_id"]] = weights.get(r["topic_id"], 0.0) + w
+    values = {"weight": weight, "p": p}
+    values |= {n: [of[r["topic_id"]] for r in rows] for n, of in (("rest", rest), ("weights", weights))}
+    lexical = None
+    if mix is not None:
+        alpha, k1, b = mix
+        check_bm25(k1, b)
+        bm25 = _bm25_query(terms, index)
+        own = {(r["topic_id"], r["term"]): k for k, r in enumerate(bm25.rows)}
+        at = [own.get((r["topic_id"], r["term"])) for r in rows]
+        values["gain"] = [0.0 if k is None else bm25.values["gain"][k] for k in at]
+        values["avgdl"] = [bm25.values["avgdl"][0] if len(bm25.rows) else 1.0] * len(rows)
+        lexical = best.bm25_parts([(k1, b)])
+
+    def parts(query, tf, dl, pos):
+        yield query.values["weight"][pos] * np.log(1.0 + tf / (mu * query.values["p"][pos]))
+        if lexical is not None:
+            yield from lexical(query, tf, dl, pos)
+
+    def finish(query, sums, dl, topic):
+        one = np.zeros((2, len(query.topics)))
+        one[:, query.topic] = query.values["rest"], query.values["weights"]
+        qld = sums[0] + one[0][topic] - one[1][topic] * np.log(dl + mu)
+        return [qld if lexical is None else sums[1] * alpha + qld * (1.0 - alpha)]
+
+    return best.best_rows(index.rows, ["doc_id"], terms, best.Terms(rows, **values), parts, finish, topk)
+
+
+def unit_terms(terms: DataFrame) -> DataFrame:
+    """``terms`` with weights that sum to one per topic."""
+    length = terms.groupBy("topic_id").agg(F.sum("weight").alias("length"))
+    return terms.join(length, "topic_id").select("topic_id", "term", (F.col("weight") / F.col("length")).alias("weight"))
+
+
 def rm3_terms(
     terms: DataFrame,
     index: Index,

@@ -228,9 +228,8 @@ def bm25_qld_mix(t):
 
 @query
 def rm3_terms(t):
-    length = t.terms.groupBy("topic_id").agg(F.sum("weight").alias("n"))
-    unit = t.terms.join(length, "topic_id").select("topic_id", "term", (F.col("weight") / F.col("n")).alias("weight"))
-    first = scoring.bm25_scores(unit, t.index)
+    unit = settle(scoring.unit_terms(t.terms))
+    first = scoring.best_bm25(unit, t.index, [(0.9, 0.4)], 10)
     found = scoring.rm3_terms(unit, t.index, first, fb_terms=20, fb_docs=10)
     return found.select("topic_id", "term", place(F.col("weight")).alias("weight"))
 

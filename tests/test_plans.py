@@ -269,3 +269,54 @@ def test_pairs_inside_rows(spark, monkeypatch):
     assert vectorize.row_similarities(halfway, "doc_id", "token_set", "jaccard").first().sim == 0.007813  # 1 / 128
     with pytest.raises(TypeError):
         vectorize.row_similarities(grouped, "doc_id", "lm", "kl")
+
+
+def test_best_rows_in_tasks(spark, monkeypatch):
+    """Ranks of all models agree with all scores, ranked afterwards, also if
+    tasks forget rows early and topics go in blocks; tasks hand on only the best."""
+    from skerry.operators import best, retrieve, scoring
+    from skerry.operators import index as ix
+    from skerry.operators.tables import by_score, ranked
+
+    rng = random.Random(3)
+    rows = [(f"d{k}", " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    topics = spark.createDataFrame([(9, "a b"), (2, "c c zz"), (5, ""), (7, "h")], "topic_id long, text string")
+    index, terms = ix.build_index(docs), ix.query_terms(topics)
+
+    def plain(scores, k):
+        return sorted(map(tuple, ranked(scores, ["topic_id"], by_score("doc_id"), top=k).collect()))
+
+    want = {
+        "bm25": plain(scoring.bm25_scores(terms, index), 20),
+        "qld": plain(scoring.qld_scores(terms, index), 20),
+        "bm25+qld": plain(scoring.mixed_scores(terms, index), 20),
+        "rm3": plain(scoring.bm25_rm3_scores(terms, index), 20),
+    }
+    assert len(want["bm25"]) == 60
+    grid = evaluate.bm25_sweep(topics, index, [0.6, 0.9], [0.4], 20)
+    handed = []
+    real = best.ranked
+    monkeypatch.setattr(best, "ranked", lambda df, *a, **o: handed.append(df.count()) or real(df, *a, **o))
+    for kept, cells in ((8_000_000, 2_000_000), (40, 7)):
+        monkeypatch.setattr(best, "KEPT_CELLS", kept)
+        monkeypatch.setattr(best, "SCORE_CELLS", cells)
+        for model, rows in want.items():
+            handed.clear()
+            assert sorted(map(tuple, retrieve.search(topics, index, model=model, topk=20).collect())) == rows
+            assert all(n <= 4 * 20 * 3 for n in handed)  # cores, depth, topics
+    assert sorted(tuple(r)[2:] for r in grid.where("k1 = 0.9").collect()) == want["bm25"]
+
+    import pyarrow as pa
+
+    import numpy as np
+
+    held = best._Held(2, 1, 3)
+    held.most = 8
+    scores = [rng.randint(0, 5) / 2 for _ in range(200)]
+    for k, score in enumerate(scores):
+        held.add(pa.RecordBatch.from_arrays([pa.array([k])], names=["doc_id"]), np.array([0]), np.array([k % 2]), [np.array([score])])
+    got = [tuple(r.values()) for b in held.batches(pa.array([10, 11])) for r in b.to_pylist()]
+    for topic in (0, 1):
+        best_of = sorted((-s, k) for k, s in enumerate(scores) if k % 2 == topic)[:3]
+        assert [(r[1], r[3]) for r in got if r[0] == 10 + topic] == [(k, -s) for s, k in best_of]
