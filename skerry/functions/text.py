@@ -82,14 +82,15 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
 
-    def of(n: int) -> Column:
+    def of(words: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        at = F.sequence(F.lit(0), F.size(tokens) - n)
-        grams = F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+            return words
+        at = F.sequence(F.lit(0), F.size(words) - n)
+        grams = F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+    # Bound: else the text would be tokenised again for every n-gram.
+    return bound(tokens, lambda words: F.concat(*(of(words, n) for n in range(low, high + 1))))
 
 
 def overlap_count(tokens: Column, wanted: Column) -> Column:

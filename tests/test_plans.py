@@ -320,3 +320,14 @@ def test_best_rows_in_tasks(spark, monkeypatch):
     for topic in (0, 1):
         best_of = sorted((-s, k) for k, s in enumerate(scores) if k % 2 == topic)[:3]
         assert [(r[1], r[3]) for r in got if r[0] == 10 + topic] == [(k, -s) for s, k in best_of]
+
+
+def test_ngrams_tokenise_once(spark):
+    from pyspark.sql import functions as F
+
+    from skerry.functions import text as fx
+
+    df = spark.createDataFrame([(1, "A b, a b c"), (2, "x"), (3, None)], "i int, text string")
+    found = df.select("i", fx.ngrams(fx.tokenize(F.col("text")), 1, 2).alias("g"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert {r.i: r.g for r in found.collect()} == {1: ["a", "b", "a", "b", "c", "a b", "b a", "a b", "b c"], 2: ["x"], 3: []}
