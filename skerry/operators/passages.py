@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.scores import place
-from . import scoring
+from . import best, scoring
 from .index import query_terms
 from .tables import by_score, ranked, settle
 
@@ -195,35 +195,35 @@ def rank_candidates(
     each topic's ``candidates``.
 
     BM25, with or without feedback, tokenises a passage once instead of once
-    per topic that retrieved its document; contents join the ranked passages
-    alone. Other models rank all contents of a topic.
+    per topic that retrieved its document, and ranks it where its row is (see
+    :mod:`.best`); contents join the ranked passages alone. Other models rank all contents of a topic.
     """
     kind = MODELS.get(model.lower())
     if kind not in ("bm25", "bm25+rm3"):
         return rank_passages(of_candidates(candidates, passages), topics, model=model, topk=topk, k1=k1, b=b)
     scoring.check_bm25(k1, b)
-    by, key = ["topic_id"], ["topic_id", "doc_id", "p_idx"]
+    by, key = ["topic_id"], ["doc_id", "p_idx"]
     asked = candidates.select("topic_id", "doc_id", F.col("rank").alias("doc_rank"))
-    words = passages.withColumn("words", fx.tokenize(F.col("content")))
+    asking = asked.groupBy("doc_id").agg(F.collect_list("topic_id").alias("asking"))
+    words = passages.join(asking, "doc_id").withColumn("words", fx.tokenize(F.col("content")))
     counted = words.withColumn("dl", F.size("words")).withColumn("counts", fx.term_counts(F.col("words")))
     counted = settle(counted.drop("words"))
     sizes = counted.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
     stats = asked.join(sizes, "doc_id").groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    stats = settle(stats.select(*by, "n", (F.col("total") / F.col("n")).alias("avgdl")))
+    stats = {r["topic_id"]: (r["n"], r["total"] / r["n"]) for r in stats.collect()}  # a row per topic
 
     def ranking(terms: DataFrame, top: int) -> DataFrame:
-        postings = counted.select("doc_id", "p_idx", "dl", F.inline("counts")).join(terms, "term")
-        hits = settle(postings.join(asked.select("topic_id", "doc_id"), ["topic_id", "doc_id"]))
-        frequency = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
-        part = scoring.bm25_part(
-            F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), F.lit(k1), F.lit(b)
-        )
-        scored = hits.join(frequency, [*by, "term"]).join(stats, by)
-        scored = scored.groupBy(*key).agg(place(F.sum(F.col("weight") * part)).alias("score"))
-        best = settle(ranked(scored, by, by_score("doc_id", "p_idx"), "p_rank", top))
-        return best.join(counted.select("doc_id", "p_idx", "content"), ["doc_id", "p_idx"]).join(
-            asked, ["topic_id", "doc_id"]
-        )
+        import numpy as np
+
+        rows = [r for r in terms.collect() if r["topic_id"] in stats]  # topics x terms
+        frequency = best.hit_counts(counted, best.Terms(rows)) if rows else {}
+        df = np.array([frequency.get((r["topic_id"], r["term"]), 0) for r in rows], float)
+        n, avgdl = (np.array([stats[r["topic_id"]][k] for r in rows], float) for k in (0, 1))
+        gain = np.array([r["weight"] for r in rows], float) * np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+        query = best.Terms(rows, gain=gain, avgdl=avgdl)
+        found = best.best_rows(counted, key, terms, query, best.bm25_parts([(k1, b)]), best.sums_only, top)
+        found = settle(found.select("topic_id", *key, "score", F.col("rank").alias("p_rank")))
+        return found.join(counted.select("doc_id", "p_idx", "content"), key).join(asked, ["topic_id", "doc_id"])
 
     if kind == "bm25":
         return ranking(settle(query_terms(topics)), topk)

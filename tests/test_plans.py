@@ -331,3 +331,19 @@ def test_ngrams_tokenise_once(spark):
     found = df.select("i", fx.ngrams(fx.tokenize(F.col("text")), 1, 2).alias("g"))
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
     assert {r.i: r.g for r in found.collect()} == {1: ["a", "b", "a", "b", "c", "a b", "b a", "a b", "b c"], 2: ["x"], 3: []}
+
+
+def test_passages_are_ranked_in_tasks(spark):
+    """As passages joined to their topics are, with and without feedback."""
+    rng = random.Random(8)
+    rows = [(f"d{d}", p, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9)))) for d in range(30) for p in range(d % 4)]
+    texts = spark.createDataFrame(rows, "doc_id string, p_idx int, content string")
+    asked = [(t, f"d{d}", d + 1) for t in (1, 2, 3) for d in range(30) if (d * t) % 3]
+    candidates = spark.createDataFrame(asked, "topic_id int, doc_id string, rank int")
+    topics = spark.createDataFrame([(1, "a b"), (2, "c c zz"), (3, ""), (4, "a")], "topic_id int, text string")
+    joined = passages.of_candidates(candidates, texts)
+    columns = ["topic_id", "doc_id", "p_idx", "content", "doc_rank", "score", "p_rank"]
+    for model in ("bm25", "rm3"):
+        want = sorted(map(tuple, passages.rank_passages(joined, topics, model=model, topk=9).select(columns).collect()))
+        found = passages.rank_candidates(candidates, texts, topics, model=model, topk=9)
+        assert want and sorted(map(tuple, found.select(columns).collect())) == want
