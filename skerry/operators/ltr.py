@@ -85,15 +85,21 @@ class LinearModel:
         return scaled.select(*keys, linear_score(list(self.weights), list(self.names), self.bias).alias("score"))
 
 
+def margin(w) -> Column:
+    """``w d``, term by term: compiled, while a lambda would be interpreted for
+    every pair and round."""
+    total = F.lit(0.0)
+    for k, v in enumerate(w):
+        total = total + F.col("d")[k] * F.lit(float(v))
+    return total
+
+
 def hinge(pairs: DataFrame, w, weight: float):
     """Objective and subgradient of ``|w|^2 / 2 + weight * sum(max(0, 1 - w d))``:
     one aggregation over the pairs, which stay where they are."""
     import numpy as np
 
-    margin = F.aggregate(
-        F.zip_with("d", F.array(*(F.lit(float(v)) for v in w)), lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x
-    )
-    violated = pairs.withColumn("loss", 1.0 - margin).where("loss > 0")
+    violated = pairs.withColumn("loss", 1.0 - margin(w)).where("loss > 0")
     parts = [F.sum("loss"), *(F.sum(F.col("d")[k]) for k in range(len(w)))]
     row = violated.agg(*(p.alias(f"c{k}") for k, p in enumerate(parts))).first()
     loss = weight * (row[0] or 0.0)

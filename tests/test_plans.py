@@ -333,6 +333,15 @@ def test_ngrams_tokenise_once(spark):
     assert {r.i: r.g for r in found.collect()} == {1: ["a", "b", "a", "b", "c", "a b", "b a", "a b", "b c"], 2: ["x"], 3: []}
 
 
+def test_margins_are_compiled(spark):
+    from skerry.operators import ltr
+
+    pairs = spark.createDataFrame([(1, [1.0, -2.0]), (1, [0.5, 3.0])], "topic_id int, d array<double>")
+    found = pairs.select(ltr.margin([2.0, 0.5]).alias("m"))
+    assert "lambda" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r.m for r in found.collect()] == [1.0, 2.5]
+
+
 def test_passages_are_ranked_in_tasks(spark):
     """As passages joined to their topics are, with and without feedback."""
     rng = random.Random(8)
