@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import place
 from . import scoring
 from .index import Index, query_terms
-from .tables import by_score, ranked, settle
+from .tables import ranked, settle
 
 
 def average_precision(

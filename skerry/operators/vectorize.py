@@ -3,7 +3,8 @@
 Rows are keyed by ``group`` columns (a topic, or a topic and a cluster) and an
 item ``i``; vectors are long: ``(*group, i, term, w)``. Pairs come from a join
 on (group, term), so only items that share a term meet, and the number of
-items per group is bounded by the passage depth.
+items per group is bounded by the passage depth. Groups that are rows (a
+document's passages) have :func:`row_similarities`, without such a bound.
 """
 
 from __future__ import annotations
